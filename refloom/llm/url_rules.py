@@ -60,6 +60,12 @@ def tokens() -> Column:
     ), x -> x is not null))""")
 
 
+def _order(rule: tuple):
+    """Best first: confidence, support, fewest tokens."""
+    tokens_, label, confidence, support = rule
+    return -confidence, -support, len(tokens_), tokens_, label
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple]:
     """Rules ``(tokens, label, confidence, support)`` from rows ``(tokens array<string>, label)``, best first."""
     rows = labelled.filter("label is not null and size(tokens) > 0")
@@ -81,7 +87,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         held[t, r["l"]] = max(stronger, r["c"])
         if r["c"] > stronger:
             kept.append((t, r["l"], r["c"], r["s"]))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
+    return sorted(kept, key=_order)
 
 
 def index(rules: list[tuple]) -> dict[str, list[tuple[int, frozenset]]]:
@@ -129,5 +135,5 @@ def prepare(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict)``, one row per row of ``pages``; rules are mined from it if not given."""
     rows = prepare(pages)
-    rules = mine(rows) if rules is None else rules
+    rules = sorted(mine(rows) if rules is None else rules, key=_order)
     return rows.select("page_id", "host", "path", "rule", "label", "tokens").mapInArrow(partial(_verdicts, rules=rules), "page_id long, host string, path string, rule string, verdict string")
