@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .learn import fit_logistic, labelled_sample, sigmoid
 
 REJECT_FROM, FOLDS, KEPT_WORDS = 0.5, 3, 256
-PREFIXES = (4, 5, 7)
+PREFIXES, CANDIDATES = (4, 5, 7), 4096
 MEMORY, LONGEST = 200_000, 64
 #: What the weakly labelled categories are about.
 CATEGORIES = {
@@ -48,9 +49,19 @@ def word_hashes(text: str | None) -> set[int]:
 
 
 def _hashes(batches):
+    """Hashes of each text, and its labels by category: the weak ones, then that of the table."""
+    lists = [{zlib.crc32(w.encode()) for w in ws} for ws in CATEGORIES.values()]
     for batch in batches:
-        got = [sorted(word_hashes(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int64())), batch.column(0)], ["words", "toxic"])
+        toxic = [int(bool(t)) for t in batch.column(0).to_pylist()]
+        words = [word_hashes(t.as_py()) for t in batch.column(1)]
+        weak = [pa.array([t if not s.isdisjoint(w) else 0 for t, w in zip(toxic, words)], pa.int32()) for s in lists]
+        yield pa.RecordBatch.from_arrays([pa.array([sorted(w) for w in words], pa.list_(pa.int64())), *weak, pa.array(toxic, pa.int32())], ["words", *NAMES])
+
+
+def _within(batches, known):
+    for batch in batches:
+        words = [[h for h in w if h in known] for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64())), *batch.columns[1:]], batch.schema.names)
 
 
 class _Presence:
@@ -125,14 +136,19 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain fitted on the sample. Words are counted on the executors; the driver gets the CANDIDATES words that tell
+    some category best, and which of them each sampled document has."""
+    fields = f"words array<bigint>, {', '.join(f'{n} int' for n in NAMES)}"
     sample = labelled_sample(docs, labels, ["toxic"]).selectExpr("cast(toxic as int) as toxic", "text")
-    rows = sample.mapInArrow(_hashes, "words array<bigint>, toxic int").collect()  # bounded by MAX_LABELLED
-    rows = sorted((zlib.crc32(repr(r["words"]).encode()), r["words"], r["toxic"]) for r in rows)
-    words = [np.array(w, np.int64) for _, w, _ in rows]
-    toxic = np.array([t for _, _, t in rows], np.int64)
-    lists = [{zlib.crc32(w.encode()) for w in ws} for ws in CATEGORIES.values()]
-    weak = [[t and not s.isdisjoint(w) for s in lists] + [t] for _, w, t in rows]
-    return Chain(words, np.array(weak, np.int64).reshape(len(toxic), len(NAMES)))
+    rows = cut(sample.mapInArrow(_hashes, fields), "toxic-sample")
+    n, *positive = rows.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in NAMES)).first()
+    counts = rows.select(F.explode("words").alias("h"), *NAMES).groupBy("h").agg(F.count("*").alias("df"), *(F.sum(c).alias(c) for c in NAMES)).filter("df >= 2")
+    chi = [F.expr(f"if({c} * {n}L > df * {p}L, power({c} * {n}D - df * {p}D, 2) * {n}D / (df * ({n}D - df) * {p}D * ({n}D - {p}D)), 0D)") for c, p in zip(NAMES, positive) if 0 < p < n]
+    found = counts.filter(f"df < {n}").select("h", F.greatest(F.lit(0.0), *chi, F.lit(0.0)).alias("chi")).filter("chi > 0") if chi else None
+    known = {r["h"] for r in found.orderBy(F.desc("chi"), "h").limit(CANDIDATES).collect()} if chi else set()
+    got = rows.mapInArrow(partial(_within, known=known), fields).collect()  # bounded by MAX_LABELLED and CANDIDATES
+    got.sort(key=lambda r: (zlib.crc32(repr(r["words"]).encode()), r["words"], *r[1:]))
+    return Chain([np.array(r["words"], np.int64) for r in got], np.array([r[1:] for r in got], np.int64).reshape(len(got), len(NAMES)))
 
 
 class _Known(dict):
