@@ -29,7 +29,7 @@ from .learn import fit_ordinal, labelled_sample, sigmoid
 GRADES, BUCKETS, KEEP_FROM = 3, 1024, 0.5
 #: The bucket of tokens that repeat the token before them.
 AGAIN = 0
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 50_000, 64
 _RULES = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", lambda m: ("X" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0][0].isupper() else "x")), (r"\d+", "9"), (r"([^\w])\1+", r"\1\1"))]
 
 

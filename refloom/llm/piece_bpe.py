@@ -3,8 +3,8 @@
 In BPE every prefix of a string has exactly one last token. The table stores it for each prefix: an automaton lists the
 pieces that end there, and the last token is the piece that is compatible with the last token of the prefix before it,
 that is, the pair, joined, is encoded as just that pair. The ids are then recovered backwards. No piece crosses from a
-letter to a following space mark, so a text is encoded unit by unit (a run of space marks and what follows) and the
-units met most are remembered. Runs of spaces, whose pieces share one score and merge from the left, and characters
+letter to a following space mark, nor over a line end that is no piece, so a text is encoded unit by unit (space marks
+and what follows up to the next such place) and the units met most are remembered. Runs of spaces, whose pieces share one score and merge from the left, and characters
 outside the vocabulary, which fall back to bytes, bound the table.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; whole texts are encoded, however long;
@@ -86,7 +86,10 @@ class PieceBPE:
                     raise ValueError(f"piece {p!r} crosses a space mark")
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.names = {p: str(i) for p, i in self.ids.items()}
         self.alphabet = {p for p in self.ids if len(p) == 1}
+        lines = "" if "\n" in self.alphabet else "\n"
+        self.cut = re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+" + f"|{lines}" * bool(lines))
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self.units = _Units(self)
 
@@ -112,18 +115,24 @@ class PieceBPE:
         """Whether BPE encodes the two tokens, joined, as just these two (or the first token of a text as itself)."""
         got = self.pairs.get((before, token))
         if got is None:
-            if len(self.pairs) >= 4 * MEMORY:
+            if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
             got = self.pairs[before, token] = self.merges((before or "") + token) == ([token] if before is None else [before, token])
         return got
 
     def table(self, text: str) -> list[str]:
         """The prefix table of a string over the alphabet without runs of space marks, read backwards."""
+        if text in self.score and self.compatible(None, text):
+            return [text]
         last: list[str | None] = [None] * (len(text) + 1)
+        known = self.pairs.get
         for end, token in self.automaton.iter(text):
-            at = end + 1 - len(token)
-            if last[end + 1] is None and (at == 0 or last[at] is not None) and self.compatible(last[at], token):
-                last[end + 1] = token
+            end += 1
+            if last[end] is None:
+                before = last[end - len(token)]
+                good = known((before, token))
+                if self.compatible(before, token) if good is None else good:
+                    last[end] = token
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -152,10 +161,7 @@ class PieceBPE:
         """Comma-joined ids of each unit of a text."""
         if not text:
             return []
-        words = text.split(" ")
-        if "" in words or SPACE in text:
-            words = [u[1:] if u[0] == SPACE and u[1:2] != SPACE else u for u in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))]
-        return list(map(self.units.__getitem__, words))
+        return list(map(self.units.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for key in self.keys(text) for x in key.split(",")]
@@ -197,19 +203,22 @@ def _each_byte(data: bytes) -> list[str]:
 
 
 class _Units(dict):
-    """Unit → comma-joined ids. A word stands for itself after one space mark; a run of marks is a key as it is."""
+    """Unit → comma-joined ids; bounded."""
 
     def __init__(self, owner: PieceBPE):
         super().__init__()
         self.owner = owner
 
-    def __missing__(self, word: str) -> str:
-        unit = word if word.startswith(SPACE) else SPACE + word
-        got = ",".join(map(str, self.owner.unit(unit)))
-        if len(word) <= LONGEST:
+    def __missing__(self, unit: str) -> str:
+        own = self.owner
+        if own.alphabet.issuperset(unit) and not unit.startswith(SPACE * 2):
+            got = ",".join(map(own.names.__getitem__, own.table(unit)))
+        else:
+            got = ",".join(map(str, own.unit(unit)))
+        if len(unit) <= LONGEST:
             if len(self) >= MEMORY:
                 self.clear()
-            self[word] = got
+            self[unit] = got
         return got
 
 
@@ -223,10 +232,17 @@ def encoder(model: bytes) -> PieceBPE:
     return _MODELS[key]
 
 
+def _slices(batches, rows: int = 500):
+    """The same rows in smaller batches, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _encode(batches, model):
     bpe = encoder(model.value)
     packed = _Packed()
-    for batch in batches:
+    for batch in _slices(batches):
         data = [b"".join(map(packed.__getitem__, bpe.keys(t.as_py()))) for t in batch.column(batch.num_columns - 1)]
         ends = np.cumsum([0, *map(len, data)]) // 4
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))
@@ -236,7 +252,7 @@ def _encode(batches, model):
 def _digest(batches, model):
     bpe = encoder(model.value)
     back = _Decoded(bpe)
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for t in batch.column(1):
             keys = bpe.keys(t.as_py())
