@@ -24,6 +24,8 @@ from tokenizers import Tokenizer
 
 LIMIT = 2048
 MEMORY, LONGEST = 300_000, 64
+#: Letters and marks without an apostrophe, or a `<` or `|` that a special string might begin with.
+_PLAIN = re.compile(r"([A-Za-z]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
 _BLANKS = str.maketrans("\n\t\r", "   ")
 
 
@@ -64,6 +66,11 @@ class WordBPE(dict):
         return alive
 
     def chunk(self, text: str) -> int:
+        if text.isascii():
+            if text.isalpha():  # one pre-token, whose bytes stand for themselves
+                return self.merged(text.lower())
+            if plain := _PLAIN.fullmatch(text):  # letters, then marks: two pre-tokens
+                return self[plain[1]] + self.merged(plain[2])
         total = len(self.special.findall(text))
         for part in self.special.split(text):
             total += sum(self.merged(w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)) if w) if part else 0
