@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LIMIT = 2048
-MEMORY, LONGEST = 300_000, 64
+#: Chunks remembered by each Python worker (about 150 MB), and the longest remembered.
+MEMORY, LONGEST = 1_000_000, 64
 #: Letters and marks without an apostrophe, or a `<` or `|` that a special string might begin with.
 _PLAIN = re.compile(r"([A-Za-z]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
 _BLANKS = str.maketrans("\n\t\r", "   ")
@@ -39,30 +40,43 @@ class WordBPE(dict):
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("unk_token") or any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("a BPE model without unknown token, subword prefix or byte fallback, and with plain special tokens, is needed")
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.end, self.vocabulary = model["end_of_word_suffix"] or "", model["vocab"]
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"] or ""
+        self.inner = {x: i for x, i in vocabulary.items() if len(x) == 1}
+        self.last = {x[: len(x) - len(end)]: i for x, i in vocabulary.items() if x.endswith(end) and len(x) == 1 + len(end)}
+        #: Pairs are keyed by both ids in one integer; a pair's rank is its place in the merges.
+        self.bits = max(vocabulary.values()).bit_length()
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.rank = {vocabulary[x] << self.bits | vocabulary[y]: i for i, (x, y) in enumerate(merges)}
+        self.product = [vocabulary[x + y] for x, y in merges]
+        self.marks: dict[str, int] = {}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
 
     def merged(self, word: str) -> int:
         """Tokens of one pre-token."""
-        s = [*word[:-1], word[-1] + self.end]
-        s = [x for x in s if x in self.vocabulary]
-        n = len(s)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), n
-        heap = [(self.rank[p], i, *p) for i, p in enumerate(zip(s, s[1:])) if p in self.rank]
+        s = [*map(self.inner.get, word[:-1]), self.last.get(word[-1])]
+        if None in s:  # symbols that the vocabulary lacks are left out
+            s = [x for x in s if x is not None]
+        n, bits, product, rank = len(s), self.bits, self.product, self.rank.get
+        alive, shift = n, n.bit_length()
+        heap = [r << shift | i for i, r in enumerate(map(rank, [x << bits | y for x, y in zip(s, s[1:])])) if r is not None]
+        if not heap:
+            return n
         heapq.heapify(heap)
+        s.append(-1)  # stands past both ends, and where a symbol was: no pair has it
+        before, after = list(range(-1, n)), list(range(1, n + 1))
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            r, i = top >> shift, top & ((1 << shift) - 1)
             j = after[i]
-            if s[i] != a or j >= n or s[j] != b:
+            if s[i] < 0 or rank(s[i] << bits | s[j]) != r:
                 continue  # an older state of these two
-            s[i], s[j], alive = a + b, "", alive - 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (s[x], s[y]) in self.rank:
-                    heapq.heappush(heap, (self.rank[s[x], s[y]], x, s[x], s[y]))
+            s[i], s[j], alive = product[r], -1, alive - 1
+            after[i] = k = after[j]
+            before[k], h = i, before[i]
+            if (r := rank(s[h] << bits | s[i])) is not None:
+                heapq.heappush(heap, r << shift | h)
+            if (r := rank(s[i] << bits | s[k])) is not None:
+                heapq.heappush(heap, r << shift | i)
         return alive
 
     def chunk(self, text: str) -> int:
@@ -70,7 +84,12 @@ class WordBPE(dict):
             if text.isalpha():  # one pre-token, whose bytes stand for themselves
                 return self.merged(text.lower())
             if plain := _PLAIN.fullmatch(text):  # letters, then marks: two pre-tokens
-                return self[plain[1]] + self.merged(plain[2])
+                got = self.marks.get(plain[2])
+                if got is None:
+                    if len(self.marks) >= MEMORY:
+                        self.marks.clear()
+                    got = self.marks[plain[2]] = self.merged(plain[2])
+                return self[plain[1]] + got
         total = len(self.special.findall(text))
         for part in self.special.split(text):
             total += sum(self.merged(w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)) if w) if part else 0
