@@ -3,8 +3,8 @@
 In BPE every prefix of a string has exactly one last token. The table stores it for each prefix: an automaton lists the
 pieces that end there, and the last token is the piece that is compatible with the last token of the prefix before it,
 that is, the pair, joined, is encoded as just that pair. The ids are then recovered backwards. No piece crosses from a
-letter to a following space mark, nor over a line end that is no piece, so a text is encoded unit by unit (space marks
-and what follows up to the next such place) and the units met most are remembered. Runs of spaces, whose pieces share one score and merge from the left, and characters
+letter to a following space mark or to a punctuation mark that follows a letter in no piece, nor over a line end that is
+no piece, so a text is encoded unit by unit (space marks and what follows up to the next such place) and the units met most are remembered. Runs of spaces, whose pieces share one score and merge from the left, and characters
 outside the vocabulary, which fall back to bytes, bound the table.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; whole texts are encoded, however long;
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import struct
 from functools import partial
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Units remembered by each Python worker, and the longest remembered.
-MEMORY, LONGEST = 200_000, 64
+#: Units, and pairs of tokens, remembered by each Python worker (about 150 MB in all), and the longest unit remembered.
+MEMORY, LONGEST = 500_000, 64
 
 
 def _fields(data: bytes):
@@ -89,7 +90,10 @@ class PieceBPE:
         self.names = {p: str(i) for p, i in self.ids.items()}
         self.alphabet = {p for p in self.ids if len(p) == 1}
         lines = "" if "\n" in self.alphabet else "\n"
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+" + f"|{lines}" * bool(lines))
+        joined = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if p[i].isalpha()}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in joined)
+        word = f"{SPACE}*[^\\W\\d_]++(?=[{marks}])|" if marks else ""
+        self.cut = re.compile(word + f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+" + f"|{lines}" * bool(lines))
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self.units = _Units(self)
 
