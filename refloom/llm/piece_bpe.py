@@ -18,6 +18,7 @@ import heapq
 import re
 import string
 import struct
+from array import array
 from functools import partial
 
 import ahocorasick
@@ -30,6 +31,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Units, and pairs of tokens, remembered by each Python worker (about 150 MB in all), and the longest unit remembered.
 MEMORY, LONGEST = 500_000, 64
+#: Units remembered as packed integers: these are made quickly, so only the most common ones are worth the memory.
+PACKED = 100_000
 
 
 def _fields(data: bytes):
@@ -270,8 +273,8 @@ class _Packed(dict):
     """Comma-joined ids → the same as 32-bit integers."""
 
     def __missing__(self, key: str) -> bytes:
-        got = np.array(key.split(","), np.int32).tobytes()
-        if len(self) >= MEMORY:
+        got = array("i", map(int, key.split(","))).tobytes()
+        if len(self) >= PACKED:
             self.clear()
         self[key] = got
         return got
