@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Units, and pairs of tokens, remembered by each Python worker (about 150 MB in all), and the longest unit remembered.
-MEMORY, LONGEST = 500_000, 64
+#: Units, and pairs of tokens, remembered during a task (about 100 MB in all), and the longest unit remembered.
+MEMORY, LONGEST = 250_000, 64
 #: Units remembered as packed integers: these are made quickly, so only the most common ones are worth the memory.
 PACKED = 100_000
 
@@ -170,6 +170,11 @@ class PieceBPE:
             return []
         return list(map(self.units.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
 
+    def forget(self) -> None:
+        """Free what was remembered: an idle worker shares its executor's memory with later stages."""
+        self.units.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for key in self.keys(text) for x in key.split(",")]
 
@@ -254,6 +259,7 @@ def _encode(batches, model):
         ends = np.cumsum([0, *map(len, data)]) // 4
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(ends)), ids], [*batch.schema.names[:-1], "n_tokens", "ids"])
+    bpe.forget()
 
 
 def _digest(batches, model):
@@ -267,6 +273,7 @@ def _digest(batches, model):
             text = b"".join(map(back.__getitem__, keys)).removeprefix(b" ") if keys else b""
             out.append((ids.count(",") + 1 if keys else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    bpe.forget()
 
 
 class _Packed(dict):
