@@ -27,6 +27,17 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows, which go to Python in batches of about BATCH_BYTES: long texts else make batches of any size, of
+    which JVM and worker hold several. Sets the session's limit where it is unset."""
+    if docs.sparkSession.conf.get(_BATCH, None) is None:
+        docs.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost no recomputation."""
     path = fresh_dir(df.sparkSession, tag)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .learn import fit_ordinal, labelled_sample, sigmoid
 
 GRADES, BUCKETS, KEEP_FROM = 3, 1024, 0.5
@@ -78,7 +79,7 @@ class OrdinalQuality:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalQuality:
-    sample = labelled_sample(docs, labels, ["quality", "toxic"]).selectExpr("case when quality = 0 then 0 when toxic = 1 then 1 else 2 end as grade", "text")
+    sample = labelled_sample(small_batches(docs), labels, ["quality", "toxic"]).selectExpr("case when quality = 0 then 0 when toxic = 1 then 1 else 2 end as grade", "text")
     rows = sample.mapInArrow(_features, "at array<int>, value array<double>, grade int").collect()  # bounded by MAX_LABELLED
     rows.sort(key=lambda r: (r["grade"], r["at"], r["value"]))
     grades = np.array([r["grade"] for r in rows], np.int64)
@@ -104,7 +105,7 @@ def _judge(batches, model, keep_from):
 
 def judge(docs: DataFrame, model: OrdinalQuality, keep_from: float = KEEP_FROM) -> DataFrame:
     """``(doc_id, expected_grade, p_good, keep)``, one row per row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_judge, model=model, keep_from=keep_from), "doc_id long, expected_grade double, p_good double, keep boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_judge, model=model, keep_from=keep_from), "doc_id long, expected_grade double, p_good double, keep boolean")
 
 
 def _select(batches, model, keep_from, text):
@@ -118,4 +119,4 @@ def _select(batches, model, keep_from, text):
 
 def select(docs: DataFrame, model: OrdinalQuality, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents kept, all columns as they are, in one pass and without a shuffle."""
-    return docs.mapInArrow(partial(_select, model=model, keep_from=keep_from, text=docs.columns.index("text")), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_select, model=model, keep_from=keep_from, text=docs.columns.index("text")), docs.schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Units, and pairs of tokens, remembered during a task (about 100 MB in all), and the longest unit remembered.
@@ -310,10 +312,10 @@ def _broadcast(spark, model_path: str):
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids array<int>)``, one row per row of ``docs``."""
     model = _broadcast(docs.sparkSession, model_path)
-    return docs.select("doc_id", "text").mapInArrow(partial(_encode, model=model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(partial(_encode, model=model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each text encoded, and decoded again from its ids."""
     model = _broadcast(docs.sparkSession, model_path)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_digest, model=model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_digest, model=model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_groups
+from .common import components, cut, join_groups, small_batches
 
 RADIUS = 3
 BUCKET = 4096
@@ -54,7 +54,7 @@ def _fingerprints(batches, width):
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp)``, one row per row of ``docs``; fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
 
 
 def _search(flags, fps, reps):

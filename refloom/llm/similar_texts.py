@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, join_groups
+from .common import components, cut, drop_rows, join_groups, small_batches
 from .simhash_dedup import links
 
 WIDTH, SIMILARITY, SIGNATURE, BANDS, ROWS = 5, 0.8, 128, 12, 3
@@ -91,7 +91,7 @@ def _connect(batches):
 
 def groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)`` of the documents with an id: the smallest doc_id of each group of similar texts."""
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marked = cut(rows.mapInArrow(_sketches, "doc_id long, whole long, fp long, signature binary, bands array<bigint>"), "sketches")
     total = marked.count()
     texts = cut(marked.groupBy("whole").agg(F.min(F.struct("doc_id", "fp", "signature", "bands")).alias("x"), F.count("*").alias("n_rows")).select("whole", "n_rows", F.col("x.doc_id").alias("rep"), "x.fp", "x.signature", "x.bands"), "texts")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .learn import fit_logistic, labelled_sample, sigmoid
 
 REJECT_FROM, FOLDS, KEPT_WORDS = 0.5, 3, 256
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     """The chain fitted on the sample. Words are counted on the executors; the driver gets the CANDIDATES words that tell
     some category best, and which of them each sampled document has."""
     fields = f"words array<bigint>, {', '.join(f'{n} int' for n in NAMES)}"
-    sample = labelled_sample(docs, labels, ["toxic"]).selectExpr("cast(toxic as int) as toxic", "text")
+    sample = labelled_sample(small_batches(docs), labels, ["toxic"]).selectExpr("cast(toxic as int) as toxic", "text")
     rows = cut(sample.mapInArrow(_hashes, fields), "toxic-sample")
     n, *positive = rows.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in NAMES)).first()
     counts = rows.select(F.explode("words").alias("h"), *NAMES).groupBy("h").agg(F.count("*").alias("df"), *(F.sum(c).alias(c) for c in NAMES)).filter("df >= 2")
@@ -187,7 +187,7 @@ def _judge(batches, chain, reject_from):
 def judge(docs: DataFrame, chain: Chain, reject_from: float = REJECT_FROM) -> DataFrame:
     """``(doc_id, p_<category>..., toxic)``, one row per row of ``docs``."""
     schema = f"doc_id long, {', '.join(f'p_{n} double' for n in NAMES)}, toxic boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_judge, chain=chain, reject_from=reject_from), schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_judge, chain=chain, reject_from=reject_from), schema)
 
 
 def _select(batches, chain, reject_from, text):
@@ -198,4 +198,4 @@ def _select(batches, chain, reject_from, text):
 
 def select(docs: DataFrame, chain: Chain, reject_from: float = REJECT_FROM) -> DataFrame:
     """The documents that are not rejected, all columns as they are."""
-    return docs.mapInArrow(partial(_select, chain=chain, reject_from=reject_from, text=docs.columns.index("text")), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_select, chain=chain, reject_from=reject_from, text=docs.columns.index("text")), docs.schema)

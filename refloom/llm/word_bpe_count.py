@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import small_batches
+
 LIMIT = 2048
 #: Chunks remembered by each Python worker (about 150 MB), and the longest remembered.
 MEMORY, LONGEST = 1_000_000, 64
@@ -123,6 +125,6 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> D
     """``(doc_id, n_bytes, n_tokens, over_limit)``, one row per row of ``docs``."""
     with open(vocabulary_path, encoding="utf-8") as f:  # a vocabulary file of the installation, a few MB
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     got = rows.mapInArrow(partial(_counts, data=data), "doc_id long, n_bytes long, n_tokens long")
     return got.withColumn("over_limit", F.col("n_tokens") > limit)
