@@ -49,7 +49,7 @@ def _sketches(batches):
         got = [sketch(t.as_py()) for t in batch.column(1)]
         low = np.array([g[2] for g in got], np.uint64).reshape(-1, SIGNATURE)
         bands = [[xxhash.xxh64_intdigest(bytes([b]) + x[b * ROWS : (b + 1) * ROWS].tobytes(), 7) for b in range(BANDS)] for x in low]
-        signature = (low >> np.uint64(48)).astype(np.uint16)
+        signature = low.astype(np.uint16)  # the low bits: the high ones of a minimum over many shingles are all 0
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 1)), pa.array([s.tobytes() for s in signature], pa.binary()), pa.array(list(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64()))],
             ["doc_id", "whole", "fp", "signature", "bands"],

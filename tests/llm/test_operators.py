@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -120,6 +121,13 @@ def test_similar_texts_at_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(8), len(texts) - 2] and kept.columns == ["doc_id", "text", "fp"]
 
 
+def test_signatures_of_long_texts_that_share_nothing_differ():
+    texts = [" ".join(f"{c}{k}" for k in range(100_000)) for c in "ab"]
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    a, b = (np.frombuffer(x.as_py(), np.uint8).reshape(similar_texts.SIGNATURE, -1) for x in next(similar_texts._sketches([docs])).column("signature"))
+    assert (a == b).all(axis=1).sum() <= 8
+
+
 def test_shards(spark, tmp_path):
     docs = spark.createDataFrame([(None if i % 7 == 0 else i, "" if i % 5 else None, i) for i in range(300)], "doc_id long, text string, slot int")
     again = [[(r.doc_id, r.shard, r.slot) for r in two_pass_shards.digest(two_pass_shards.read_shards(spark, two_pass_shards.write_shards(d, str(tmp_path / f"s{k}"), shards=7, bucket_bytes=900), docs)).orderBy("shard", "slot").collect()] for k, d in enumerate((docs, docs.repartition(5)))]
