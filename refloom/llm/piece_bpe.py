@@ -3,7 +3,7 @@
 In BPE every prefix of a string has exactly one last token. The table stores it for each prefix: an automaton lists the
 pieces that end there, and the last token is the piece that is compatible with the last token of the prefix before it,
 that is, the pair, joined, is encoded as just that pair. The ids are then recovered backwards. No piece crosses from a
-letter to a following space mark or to a punctuation mark that follows a letter in no piece, nor over a line end that is
+letter to a following space mark or to a punctuation mark that follows such a letter in no piece, nor over a line end that is
 no piece, so a text is encoded unit by unit (space marks and what follows up to the next such place) and the units met most are remembered. Runs of spaces, whose pieces share one score and merge from the left, and characters
 outside the vocabulary, which fall back to bytes, bound the table.
 
@@ -95,9 +95,11 @@ class PieceBPE:
         self.names = {p: str(i) for p, i in self.ids.items()}
         self.alphabet = {p for p in self.ids if len(p) == 1}
         lines = "" if "\n" in self.alphabet else "\n"
-        joined = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if p[i].isalpha()}
-        marks = "".join(re.escape(c) for c in string.punctuation if c not in joined)
-        word = f"{SPACE}*[^\\W\\d_]++(?=[{marks}])|" if marks else ""
+        joined = {(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1) if p[i + 1] in string.punctuation and re.match(r"[^\W\d_]", p[i])}
+        free = [c for c in string.punctuation if not any(b == c and a.isalpha() for a, b in joined)]
+        marks, signs = ("".join(map(re.escape, sorted(x))) for x in (free, {a for a, b in joined if b in free}))  # signs like ² are letters to the regex, and some pieces join them to a mark
+        last = f"(?<![{signs}])" if signs else ""
+        word = f"{SPACE}*[^\\W\\d_]++{last}(?=[{marks}])|" if marks else ""
         self.cut = re.compile(word + f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+" + f"|{lines}" * bool(lines))
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self.units = _Units(self)

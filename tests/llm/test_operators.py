@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -42,6 +43,14 @@ def test_sentencepiece_equals_the_library(spark):
     assert piece_bpe.digest_documents(documents(spark, []), path).count() == 0
 
 
+def test_sentencepiece_cuts_no_piece_after_a_sign_that_counts_as_a_letter():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, bpe = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.encoder(open(path, "rb").read())
+    ends = [p[-2:] for p in bpe.ids if len(p) > 1 and p[-1] in string.punctuation]
+    for t in ["Area: 25 km². Next", "10 m².", "ab².", "²."] + [f"{a}{e}{b}" for e in ends for a in ("", "ab", "x ") for b in ("", " y")]:
+        assert bpe.encode(t) == sp.encode(t), t
+
+
 def test_token_counts_equal_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
