@@ -130,6 +130,40 @@ def test_similar_texts_at_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(8), len(texts) - 2] and kept.columns == ["doc_id", "text", "fp"]
 
 
+def test_links_are_similarities_of_four_fifths_exactly(spark):
+    texts, want = [], []
+    for k, shared in enumerate([220, 221, 222, 223, 225, 227] * 6):  # of 250 distinct shingles each: 0.786, 0.792, 0.798, 0.805, 0.818, 0.832
+        words = [f"w{k}_{i}" for i in range(254)]
+        want += [len(texts)] + [len(texts) + 1] * (9 * shared < 8 * 250)
+        texts += [" ".join(words), " ".join(words[:shared + 4] + [f"x{k}_{i}" for i in range(250 - shared)])]
+    chain = [" ".join(f"c{i}" for i in range(at, at + 254)) for at in range(0, 250, 25)]  # each like the next two at most
+    sets = [{tuple(w[i : i + 5]) for i in range(250)} for w in map(str.split, chain)]
+    root = brute_components(chain, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    want += sorted({root[i] + len(texts) for i in root})
+    assert sorted(r.doc_id for r in similar_texts.drop_duplicates(documents(spark, texts + chain)).collect()) == want
+
+
+def test_families_round_four_fifths_equal_brute_force(spark):
+    random.seed(12)
+    texts = []
+    for f in range(6):
+        base = [f"w{f}_{i}" for i in range(150)]
+        for _ in range(25):
+            at, n = random.randrange(130), random.randrange(4, 20)
+            texts.append(" ".join(base[:at] + [f"x{random.random()}" for _ in range(n)] + base[at + n :]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = brute_components(texts, similar)
+    assert {r.doc_id: r.component_id for r in similar_texts.groups(documents(spark, texts)).collect()} == want
+    shingles = [np.array([hash(x) for x in s], np.int64).view(np.uint64).tobytes() for s in sets]
+    rows = [(k // 25, k if k % 3 else k // 9 * 1000, k, x) for k, x in enumerate(shingles)]
+    cut = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 40])], ["cluster", "part", "whole", "shingles"]) for i in range(0, len(rows), 40)]
+    linked = {(a, b) for batch in similar_texts._compare(cut) for a, b in zip(*batch.to_pydict().values())}
+    assert all(similar(a, b) for a, b in linked)
+    joined = lambda a, b: rows[a][:2] == rows[b][:2]
+    assert brute_components(texts, lambda a, b: joined(a, b) or (a, b) in linked or (b, a) in linked) == brute_components(texts, lambda a, b: joined(a, b) or similar(a, b))
+
+
 def test_signatures_of_long_texts_that_share_nothing_differ():
     texts = [" ".join(f"{c}{k}" for k in range(100_000)) for c in "ab"]
     docs = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
