@@ -3,7 +3,7 @@
 Quality, toxicity, near-duplicates, benchmark leaks, token ids. Every stage works on all documents that the one before
 kept; the first four return the columns of `documents`, the last one the token ids. Models are fitted on the labelled
 documents of the whole table. Documents with a null doc_id pass the near-duplicate and leak stages, which speak of
-documents by their id; repeated rows of a doc_id become one row in the near-duplicate stage.
+documents by their id; rows equal in doc_id and text become one row in the near-duplicate stage.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ not all pairs. All candidates, SimHash's too (texts of 3 bits are at times below
 sets; where one fails, its cluster is compared whole, so that a link is a similarity of 0.8 and no estimate.
 
 Exact copies are one text from the start, so a hot text is one row. Defined cases: texts without words are copies of one
-another; a null doc_id is kept and links to nothing; of repeated rows of one doc_id one stays; empty tables stay empty.
+another; a null doc_id is kept and links to nothing; of rows equal in doc_id and text one
+stays; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def _sketches(batches):
         bands = [[xxhash.xxh64_intdigest(bytes([b]) + x[b * ROWS : (b + 1) * ROWS].tobytes(), 7) for b in range(BANDS)] for x in low]
         signature = low.astype(np.uint8)  # the low bits: the high ones of a minimum over many shingles are all 0
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 1)), pa.array([s.tobytes() for s in signature], pa.binary()), pa.array(list(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64()))],
-            ["doc_id", "whole", "fp", "signature", "bands"],
+            [batch.column(0), batch.column(2), *(pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 1)), pa.array([s.tobytes() for s in signature], pa.binary()), pa.array(list(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64()))],
+            ["doc_id", "exact", "whole", "fp", "signature", "bands"],
         )
 
 
@@ -187,29 +188,37 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     return good.union(cut(more, "compared"))
 
 
+#: Tells texts apart, a null one from all others too.
+_EXACT, _KEY = "xxhash64(text, text is null)", "__exact"
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, component_id)`` of the documents with an id: the smallest doc_id of each group of similar texts."""
-    rows = small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = cut(rows.mapInArrow(_sketches, "doc_id long, whole long, fp long, signature binary, bands array<bigint>"), "sketches")
+    """``(doc_id, component_id, exact, first_exact)`` of the documents with an id: the smallest doc_id of each group of similar
+    texts, a hash of the document's text, and the smallest such hash of that smallest doc_id in the group."""
+    rows = small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.expr(_EXACT).alias("exact"))
+    marked = cut(rows.select("doc_id", "text", "exact").mapInArrow(_sketches, "doc_id long, exact long, whole long, fp long, signature binary, bands array<bigint>"), "sketches")
     total = marked.count()
-    texts = cut(marked.groupBy("whole").agg(F.min(F.struct("doc_id", "fp", "signature", "bands")).alias("x"), F.count("*").alias("n_rows")).select("whole", "n_rows", F.col("x.doc_id").alias("rep"), "x.fp", "x.signature", "x.bands"), "texts")
+    texts = cut(marked.groupBy("whole").agg(F.min(F.struct("doc_id", "exact", "fp", "signature", "bands")).alias("x"), F.count("*").alias("n_rows")).select("whole", "n_rows", F.col("x.doc_id").alias("rep"), "x.exact", "x.fp", "x.signature", "x.bands"), "texts")
     by_print = texts.groupBy("fp").agg(F.min("whole").alias("rep"), F.count("*").alias("n_rows"))
     same = join_groups(texts.select("fp", F.col("whole").alias("a")), by_print, "fp", total).select("a", F.col("rep").alias("b"))
     banded = texts.select(F.explode("bands").alias("band"), "whole", "signature").repartition("band").sortWithinPartitions("band", "whole")
     pairs = banded.mapInArrow(_candidates, "a long, b long").union(links(by_print.select("fp", "rep"))).union(same).filter("a <> b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     found = components(_linked(pairs, rows, texts))
-    placed = cut(texts.select("whole", "rep", "n_rows").join(found.withColumnRenamed("node", "whole"), "whole", "left").withColumn("component", F.coalesce("component", "whole")), "placed")
-    first = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_rows"))
-    known = join_groups(placed.select("whole", "component", F.col("n_rows").alias("copies")), first, "component", total).select("whole", F.col("copies").alias("n_rows"), "component_id")
-    return join_groups(marked.select("doc_id", "whole"), known, "whole", total).select("doc_id", "component_id")
+    placed = cut(texts.select("whole", "rep", "exact", "n_rows").join(found.withColumnRenamed("node", "whole"), "whole", "left").withColumn("component", F.coalesce("component", "whole")), "placed")
+    first = placed.groupBy("component").agg(F.min(F.struct("rep", "exact")).alias("x"), F.count("*").alias("n_rows")).select("component", "n_rows", F.col("x.rep").alias("component_id"), F.col("x.exact").alias("first_exact"))
+    known = join_groups(placed.select("whole", "component", F.col("n_rows").alias("copies")), first, "component", total).select("whole", F.col("copies").alias("n_rows"), "component_id", "first_exact")
+    return join_groups(marked.select("doc_id", "whole", "exact"), known, "whole", total).select("doc_id", "component_id", "exact", "first_exact")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without all but the first of each group, all columns as they are."""
     marked = cut(groups(docs), "groups")
     n, ids = marked.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    kept = drop_rows(docs, marked.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
     if n == ids:
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        return drop_rows(docs, marked.filter("doc_id <> component_id").select("doc_id"), "doc_id")
+    # a doc_id may have several texts: rows go by both, and of rows equal in both one stays
+    gone = cut(marked.filter("doc_id <> component_id or exact <> first_exact").select("doc_id", F.col("exact").alias(_KEY)).distinct(), "dropped")
+    named = docs.filter("doc_id is not null").withColumn(_KEY, F.expr(_EXACT))
+    kept = named.join(gone, [named["doc_id"].cast("long") == gone["doc_id"], named[_KEY] == gone[_KEY]], "left_anti")
+    return kept.dropDuplicates(["doc_id", _KEY]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -164,9 +164,18 @@ def test_families_round_four_fifths_equal_brute_force(spark):
     assert brute_components(texts, lambda a, b: joined(a, b) or (a, b) in linked or (b, a) in linked) == brute_components(texts, lambda a, b: joined(a, b) or similar(a, b))
 
 
+def test_texts_of_a_repeated_doc_id_are_judged_apart(spark):
+    alone, shared, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, shared), (2, shared), (2, alone), (2, alone), (3, other), (3, other.upper()), (4, None), (4, ""), (None, shared), (5, alone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in similar_texts.drop_duplicates(docs.repartition(3)).collect()]
+    assert {x for x in kept if x[0] not in (3, 4)} == {(1, shared), (2, alone), (None, shared)}
+    assert sorted(x[0] or 0 for x in kept) == [0, 1, 2, 3, 4] and (2, alone) in kept
+
+
 def test_signatures_of_long_texts_that_share_nothing_differ():
     texts = [" ".join(f"{c}{k}" for k in range(100_000)) for c in "ab"]
-    docs = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([t.encode() for t in texts])], ["doc_id", "text"]).append_column("exact", pa.array([0, 1]))
     a, b = (np.frombuffer(x.as_py(), np.uint8).reshape(similar_texts.SIGNATURE, -1) for x in next(similar_texts._sketches([docs])).column("signature"))
     assert (a == b).all(axis=1).sum() <= 8
 
