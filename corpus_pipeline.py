@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaked = benchmark_leaks.leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaked = benchmark_leaks.leaks(docs, _table(spark, sf_dir, "benchmark"), short=True).select("doc_id").distinct()
     return common.drop_rows(docs, leaked, "doc_id")
 
 

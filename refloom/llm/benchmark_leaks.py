@@ -6,12 +6,12 @@ SimHash. RADIUS + 1 Hamming blocks guarantee that a fingerprint within RADIUS bi
 block whole, so an equi-join on (words, block, value) finds all of them, each at its first such block; the exact
 similarity then verifies them. RADIUS is so wide that a window of the similarity asked for passes it but for once in
 about a million (the expected distance at 0.8 is 10 bits of 64, the deviation 3), and it costs little, as most windows
-are ruled out before, without loss: a window that leaks shares at least `need` of an item's k shingles, so it holds
+are ruled out before, without loss: a window that leaks shares at least `need` of an item's k shingles (`least` if it is a whole shorter document), so it holds
 one of any k - need + 1 of them (the seeds), and it reaches its best similarity where it begins at a shared shingle, or
 at the document's end, with `need` shared positions inside. Documents are searched for seeds in place: their shingle
 hashes meet a Bloom filter of all seeds, as literal words of a bit set, before anything is exploded or joined.
 
-Defined cases: a document or item without words leaks nothing; items of fewer than WIDTH words are one shingle of all
+Defined cases: a document shorter than an item is, where asked, its one window; a document or item without words leaks nothing; items of fewer than WIDTH words are one shingle of all
 their words; a null doc_id or item_id is kept as null; repeated rows are judged row by row; empty tables give no rows.
 Shingles are compared as 64-bit hashes.
 """
@@ -72,13 +72,14 @@ def _items(benchmark: DataFrame) -> DataFrame:
     by_width = "case w " + " ".join(f"when {w} then {shingles('words', str(w))}" for w in range(1, WIDTH + 1)) + " end"
     rows = cut(rows.select("item", "item_id", "m", "w", F.expr(by_width).alias("hashes")), "items")
     most = rows.agg(F.max(F.size("hashes"))).first()[0] or 1
-    return rows.selectExpr("*", "size(hashes) as k", f"cast(ceil(2 * {SIMILARITY} / (1 + {SIMILARITY}) * size(hashes) - 1e-9) as int) as need", "transform(array_distinct(hashes), x -> struct(x as h, size(filter(hashes, y -> y = x)) as n)) as counted", f"{fingerprint('hashes', most)} as fp")
+    return rows.selectExpr("*", "size(hashes) as k", f"cast(ceil(2 * {SIMILARITY} / (1 + {SIMILARITY}) * size(hashes) - 1e-9) as int) as need", f"cast(ceil({SIMILARITY} * size(hashes) - 1e-9) as int) as least", "transform(array_distinct(hashes), x -> struct(x as h, size(filter(hashes, y -> y = x)) as n)) as counted", f"{fingerprint('hashes', most)} as fp")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """``(doc_id, item_id, start_word, n_words, similarity, distance)``: the best window of each leaked item in each document.
 
-    ``row`` tells rows with the same doc_id apart.
+    ``row`` tells rows with the same doc_id apart. With ``short``, a document of fewer words than an item is compared with it
+    as its one window; without, it has no window of the item's length.
     """
     spark = docs.sparkSession
     none = spark.createDataFrame([], "row long, doc_id long, item_id long, start_word int, n_words int, similarity double, distance int")
@@ -86,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_items, most, total = items.agg(F.count("*"), F.max("k"), F.sum("k")).first()
     if not n_items:
         return none
-    seeds = cut(items.select("item", "m", "w", F.explode(F.expr("slice(array_distinct(hashes), 1, k - need + 1)")).alias("h")), "seeds")
+    seeds = cut(items.select("item", "m", "w", F.explode(F.expr(f"slice(array_distinct(hashes), 1, k - {'least' if short else 'need'} + 1)")).alias("h")), "seeds")
     n_seeds = seeds.count()
     bits = min(MOST_BITS, 1 << max(12, math.ceil(math.log2(n_seeds * BITS_EACH))))
     # a word for each 64 bits, at most MOST_BITS / 64 of them, whatever the number of seeds
@@ -106,15 +107,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         pairs = suspects.select("row", F.explode("hits").alias("h")).join(_maybe_broadcast(seeds.filter(F.col("w") == w).select("h", "item"), n_seeds), "h").select("row", "item").distinct()
         asked = pairs.groupBy("row").agg(F.collect_set("item").alias("items"))  # a document's own candidates
         wide = suspects.select("row", "doc_id", "hashes").join(asked, "row").select("row", "doc_id", "hashes", F.explode("items").alias("item"))
-        wide = wide.join(_maybe_broadcast(mine.select("item", "m", "k", "need", F.col("hashes").alias("own")), total), "item")
+        wide = wide.join(_maybe_broadcast(mine.select("item", "m", "k", "need", "least", F.col("hashes").alias("own")), total), "item")
         spots = "filter(sequence(0, size(hashes) - 1), i -> array_contains(own, hashes[i]))"
         starts = wide.filter("size(hashes) >= k").withColumn("spots", F.expr(spots)).filter("size(spots) >= need")
         begin = "transform(filter(sequence(0, size(spots) - need), j -> spots[j] <= size(hashes) - k and spots[j + need - 1] < spots[j] + k), j -> spots[j])"
         end = "if(spots[size(spots) - need] >= size(hashes) - k, array(size(hashes) - k), array())"
         windows = starts.withColumn("at", F.explode(F.array_distinct(F.concat(F.expr(begin), F.expr(end))))).select("row", "doc_id", "m", "at", F.expr("slice(hashes, at + 1, k)").alias("hashes"))
+        if short:
+            fewer = wide.filter("size(hashes) < k and size(hashes) >= `least`").withColumn("spots", F.expr(spots)).filter(f"size(spots) >= {SIMILARITY} / (1 + {SIMILARITY}) * (k + size(hashes)) - 1e-9")
+            windows = windows.union(fewer.select("row", "doc_id", "m", F.lit(0).alias("at"), "hashes"))
         windows = windows.withColumn("fp", F.expr(fingerprint("hashes", most)))
         found = _matches(windows, mine, n_items) if found is None else found.union(_matches(windows, mine, n_items))
-    best = found.groupBy("row", "doc_id", "item", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("at"), F.col("m"), F.col("distance"))).alias("b"))
+    best = found.groupBy("row", "doc_id", "item", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("at"), F.col("words").alias("m"), F.col("distance"))).alias("b"))
     return best.select("row", "doc_id", "item_id", F.col("b.at").alias("start_word"), F.col("b.m").alias("n_words"), (-F.col("b.s")).alias("similarity"), F.col("b.distance").alias("distance"))
 
 
@@ -129,5 +133,5 @@ def _matches(windows: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
     first = " and ".join(f"(block <= {b} or {block('(fp ^ own)', b)} <> 0)" for b in range(RADIUS))
     near = probes.join(_maybe_broadcast(table, n_items * (RADIUS + 1)), ["m", "block", "value"]).filter(F.expr(f"bit_count(fp ^ own) <= {RADIUS} and {first}"))
     shared = "aggregate(counted, 0, (a, x) -> a + least(x.n, size(filter(hashes, y -> y = x.h))))"
-    near = near.withColumn("shared", F.explode(F.array(F.expr(shared)))).withColumn("similarity", F.expr("shared / (2 * k - shared)"))
-    return near.filter(F.col("similarity") >= SIMILARITY).select("row", "doc_id", "item", "item_id", "m", "at", "similarity", F.expr("cast(bit_count(fp ^ own) as int)").alias("distance"))
+    near = near.withColumn("shared", F.explode(F.array(F.expr(shared)))).withColumn("similarity", F.expr("shared / (k + size(hashes) - shared)"))
+    return near.filter(F.col("similarity") >= SIMILARITY).select("row", "doc_id", "item", "item_id", F.expr(f"size(hashes) + least(m, {WIDTH}) - 1").alias("words"), "at", "similarity", F.expr("cast(bit_count(fp ^ own) as int)").alias("distance"))

@@ -218,6 +218,21 @@ def test_leaks_equal_brute_force(spark):
     assert benchmark_leaks.leaks(docs, bench.limit(0)).count() == 0 and benchmark_leaks.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_whole_documents_shorter_than_an_item_leak(spark):
+    items = [[f"t{k}n{i}" for i in range(m)] for k, m in enumerate((30, 60, 9, 5))]
+    texts = [" ".join(it[a : len(it) - b]) for it in items for a in range(8) for b in range(8) if a + b < len(it)] + ["", None]
+    docs, bench = documents(spark, texts), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want, sh = {}, lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for d, t in enumerate(texts):
+        words = (t or "").split()
+        for i, it in enumerate(items):
+            a, b = sh(words), sh(it)
+            if words and len(a & b) / len(a | b) >= 0.8:
+                want[d, i] = (len(words), len(a & b) / len(a | b))
+    got = {(r.doc_id, r.item_id): (r.n_words, pytest.approx(r.similarity)) for r in benchmark_leaks.leaks(docs, bench, short=True).collect()}
+    assert got == want and any(n < 60 for n, _ in want.values())
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(300)]
