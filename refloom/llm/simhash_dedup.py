@@ -5,7 +5,8 @@ segments. So each distinct fingerprint enters the table of each segment under it
 the Hamming ball of radius one around it; a flip is asked for only where the segment's bit is 0, as the other of two
 fingerprints then has the 1. Matches are verified on all 64 bits, bucket by bucket, and leave as spanning forests:
 a bucket never becomes all its pairs. A bucket of over BUCKET entries is dealt out once more by 16-bit parts of the
-other segment, which leaves at most 65,536 own members each.
+other segment, and what is still too large by 8-bit parts of the other of these, which leaves at most 256 own members
+each; at every level the difference that is left, of at most RADIUS bits, is at most one bit in one of two segments.
 
 Defined cases: a null or wordless text has fingerprint 0, linked like any other; fewer words than a shingle make one
 shingle of all of them; a null doc_id keeps its fingerprint, links to nothing and has a null component; repeated rows
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
 
 
-def _search(flags, fps, reps):
+def _search(flags, fps, reps, full):
     """Links of one bucket as a forest. Two entries may be compared if, at each level, one stands under its own value."""
     left = np.ones(len(fps), bool)
     for start in range(len(fps)):
@@ -66,69 +67,90 @@ def _search(flags, fps, reps):
         left[start], queue = False, [start]
         while queue:
             i = queue.pop()
-            near = left & (((flags | flags[i]) & 3) == 3) & (np.bitwise_count(fps ^ fps[i]) <= RADIUS)
+            near = left & ((flags | flags[i]) == full) & (np.bitwise_count(fps ^ fps[i]) <= RADIUS)
             for j in np.flatnonzero(near).tolist():
                 left[j] = False
                 queue.append(j)
                 yield int(reps[i]), int(reps[j])
 
 
-def _buckets(batches, limit):
-    """Rows (key, flag, fp, rep) sorted by key → links (a, b), or the entries of too large a bucket as they came."""
+def _buckets(batches, limit, full):
+    """Rows (key, flag, fp, rep) sorted by key → links (a, b), or the entries of too large a bucket as they came.
+
+    At most ``limit`` entries of a bucket are held: from there on its entries are passed on as they come.
+    """
+
+    def out(links, kept):
+        n, m = len(links), len(kept[0])
+        a, b = (pa.concat_arrays([pa.array([x[k] for x in links], pa.int64()), pa.nulls(m, pa.int64())]) for k in (0, 1))
+        rest = [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(kept, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([a, b, *rest], ["a", "b", "key", "flag", "fp", "rep"])
 
     def solve(keys, flags, fps, reps):
         edge = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.r_[0, edge], np.r_[edge, len(keys)]
-        links, kept = [], []
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+        whole = np.bitwise_or.reduceat(flags, starts) == full  # else no two entries may be compared
+        links, kept = [], [np.zeros(0, np.int64)]
+        for s, e in zip(starts[whole & (ends - starts > 1)].tolist(), ends[whole & (ends - starts > 1)].tolist()):
             if e - s > limit:
                 kept.append(np.arange(s, e))
-            elif (flags[s:e] == 3).any() or e - s > 2:
-                links += _search(flags[s:e], fps[s:e], reps[s:e])
-        k = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-        n, none = len(links), pa.nulls(len(k), pa.int64())
-        a = pa.concat_arrays([pa.array([x for x, _ in links], pa.int64()), none])
-        b = pa.concat_arrays([pa.array([y for _, y in links], pa.int64()), none])
-        rest = [pa.concat_arrays([pa.nulls(n, t), pa.array(x[k], t)]) for x, t in ((keys, pa.int64()), (flags, pa.int32()), (fps.view(np.int64), pa.int64()), (reps, pa.int64()))]
-        return pa.RecordBatch.from_arrays([a, b, *rest], ["a", "b", "key", "flag", "fp", "rep"])
+            else:
+                links += _search(flags[s:e], fps[s:e].view(np.uint64), reps[s:e], full)
+        k = np.concatenate(kept)
+        return out(links, [x[k] for x in (keys, flags, fps, reps)])
 
-    held: list[np.ndarray] | None = None
+    held, n, passed = [], 0, None  # the entries of the last key met, and the key whose entries are passed on
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        cols[2] = cols[2].view(np.uint64)
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if passed is not None:
+            end = int(np.searchsorted(cols[0], passed, side="right"))
+            if end:
+                yield out([], [x[:end] for x in cols])
+                cols = [x[end:] for x in cols]
+            passed = passed if not len(cols[0]) else None
         if not len(cols[0]):
             continue
-        last = np.searchsorted(cols[0], cols[0][-1])
-        held = [x[last:] for x in cols]
-        if last:
+        if held and held[0][0][0] != cols[0][-1] or not held and cols[0][0] != cols[0][-1]:
+            cols, held = [np.concatenate(x) for x in zip(*held, cols)], []
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
             yield solve(*(x[:last] for x in cols))
-    if held is not None:
-        yield solve(*held)
+            cols, n = [x[last:] for x in cols], 0
+        held, n = [*held, cols], n + len(cols[0])
+        if n > limit:
+            yield out([], [np.concatenate(x) for x in zip(*held)])
+            held, n, passed = [], 0, cols[0][-1]
+    if held:
+        yield solve(*(np.concatenate(x) for x in zip(*held)))
 
 
 _OUT = "a long, b long, key long, flag int, fp long, rep long"
 
 
-def _solve(entries: DataFrame, limit: int) -> DataFrame:
-    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, limit=limit), _OUT)
+def _deal(rows: DataFrame, shift: str, width: int, parts: int, level: int, key: str) -> DataFrame:
+    """Entries (key, flag, fp, rep) of one level: each row under its own value of each of ``parts`` segments of ``width``
+    bits, the first one at bit ``shift``, and under that value with one 0 bit set. ``key`` is a prefix from the level
+    before. A flag's bit ``level`` tells an own value; flags of the levels before are kept."""
+    value = f"(shiftrightunsigned(fp, {shift} + {width} * p) & {(1 << width) - 1}L)"
+    ball = f"concat(array(struct({value} as v, flag | {1 << level} as f)), transform(filter(sequence(0, {width - 1}), i -> ({value} & shiftleft(1L, i)) = 0), i -> struct({value} | shiftleft(1L, i) as v, flag as f)))"
+    wide = rows.select("key", "flag", "fp", "rep", F.explode(F.array(*map(F.lit, range(parts)))).alias("p")).select("key", "fp", "rep", "p", F.expr(f"inline({ball})"))
+    return wide.selectExpr(f"({key} * {parts} + p) * {1 << width}L + v as key", "cast(f as int) as flag", "fp", "rep")
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links ``(a, b)`` between the ``rep`` of distinct fingerprints ``(fp, rep)``, enough to connect all within RADIUS bits."""
-    half = "(shiftrightunsigned(fp, 32 * h) & 4294967295L)"
-    ball = f"concat(array(struct({half} as v, 3 as flag)), transform(filter(sequence(0, 31), i -> ({half} & shiftleft(1L, i)) = 0), i -> struct({half} | shiftleft(1L, i) as v, 2 as flag)))"
-    entries = fps.select("fp", "rep", F.explode(F.array(F.lit(0), F.lit(1))).alias("h")).select("fp", "rep", "h", F.expr(f"inline({ball})"))
-    first = cut(_solve(entries.selectExpr("v * 2 + h as key", "flag", "fp", "rep"), bucket), "buckets")
-    found, large = first.filter("b is not null").select("a", "b"), first.filter("key is not null")
-    if large.isEmpty():
-        return found
-    part = "(shiftrightunsigned(fp, 32 * (1 - (key & 1)) + 16 * p) & 65535L)"
-    ball = f"concat(array(struct({part} as v, (flag & 1) | 2 as flag2)), transform(filter(sequence(0, 15), i -> ({part} & shiftleft(1L, i)) = 0), i -> struct({part} | shiftleft(1L, i) as v, flag & 1 as flag2)))"
-    deeper = large.select("key", "flag", "fp", "rep", F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).select("key", "fp", "rep", "p", F.expr(f"inline({ball})"))
-    deeper = deeper.selectExpr("(key * 2 + p) * 65536 + v as key", "cast(flag2 as int) as flag", "fp", "rep")
-    return found.union(cut(_solve(deeper, 1 << 62), "buckets").select("a", "b"))
+    rows = fps.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("flag"), "fp", "rep")
+    found = None
+    # (first bit of what is left of the fingerprint, bits of a segment), by the bits of the key that tell the segments before
+    half, part = "32 * (1 - (shiftright(key, 32) & 1))", "(32 * (1 - (shiftright(key, 17) & 1)) + 16 * (1 - (shiftright(key, 16) & 1)))"
+    for level, (shift, width) in enumerate((("0", 32), (half, 16), (part, 8))):
+        entries = _deal(rows, f"cast({shift} as int)", width, 2, level, "key")
+        # the last level's buckets hold at most 256 own members, whatever the input
+        solve = partial(_buckets, limit=bucket if level < 2 else 1 << 62, full=(2 << level) - 1)
+        done = cut(entries.repartition("key").sortWithinPartitions("key").mapInArrow(solve, _OUT), "buckets")
+        new = done.filter("b is not null").select("a", "b")
+        found, rows = new if found is None else found.union(new), done.filter("key is not null").select("key", "flag", "fp", "rep")
+        if level == 2 or rows.isEmpty():
+            return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
