@@ -12,8 +12,11 @@ CONTEXT, PASSAGE = 160, 220
 
 
 def fold(text: Column) -> Column:
-    """Case folding of labels and texts: lower case, and ß as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding of labels and texts: what upper case joins is one in lower case, so ß is ss, ſ is s, ς is σ.
+    Dotless ı, which upper case would join with i, stays apart."""
+    kept = F.replace(text, F.lit("ı"), F.lit("\ue000"))
+    low = F.translate(F.replace(F.lower(F.upper(kept)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.replace(low, F.lit("\ue000"), F.lit("ı"))
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -146,7 +146,7 @@ _HITS = r"""hits AS (SELECT doc_id, label, unnest(list_filter(range(1, length(t)
 
 @query("gazetteer_detect", _REGISTRY, _DOCS, _LABELS, _HITS, sql='SELECT doc_id, label, CAST(i - 1 AS INTEGER) AS "start", CAST(i - 1 + length(label) AS INTEGER) AS "end" FROM hits')
 def gazetteer_detect(spark, d):
-    return linking.mentions(w.order_docs(spark, d), registry.candidates(w.registry(spark, d)).select("label")).select("doc_id", "label", "start", "end")
+    return linking.mentions(w.order_docs(spark, d), linking.label_kinds(w.registry(spark, d)).select("label")).select("doc_id", "label", "start", "end")
 
 
 @query("gazetteer_link", _REGISTRY, _DOCS, _LABELS, _HITS, sql="""SELECT doc_id, h.label, CAST(i - 1 AS INTEGER) AS "start", CASE WHEN h.n = 1 THEN r.type END AS type, CASE WHEN h.n = 1 THEN r.key END AS key, CAST(h.n AS INTEGER) AS candidate_count
