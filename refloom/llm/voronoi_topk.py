@@ -1,17 +1,19 @@
 """Operator 8: exact top-k inner products by a Voronoi kNN join.
 
-Vectors are quantised to integers floor(SCALE * x). PIVOTS pivots cut queries and data into cells; the summary of a data
-cell is its pivot and radius. Each query has a lower bound for its k-th score, its k-th best among a bounded sample of
-real candidates, and needs a cell only if query·pivot + |query|·radius reaches that bound. Query cells are cut or merged
-into blocks of about BLOCK queries, so a cell that holds a third of all queries is several blocks; a block needs what
-any of its queries needs, and each data vector is replicated just to the blocks that need its cell. Data is dealt into
-chunks too, so no task holds a whole cell: a task keeps one block of queries and streams one chunk of data past it by
-matrix products, and the k best of all chunks of a query are merged at the end.
+Vectors are quantised to integers floor(SCALE * x). Pivots, PIVOTS of them and one more for each CHUNK vectors up to
+SAMPLE, cut queries and data into cells; the summary of a data cell is its pivot and radius. Each query has a lower bound
+for its k-th score, its k-th best among a bounded sample of real candidates, and needs a cell only if query·pivot +
+|query|·radius reaches that bound. Query cells are cut or merged into blocks of about BLOCK queries, so a cell that holds
+a third of all queries is several blocks, and data cells into chunks of about CHUNK vectors, so no task holds a whole
+cell. A query goes only to the chunks of the cells that it needs, and each data vector only to the blocks that need its
+cell: a task keeps the queries of one block that need one chunk and streams that chunk past them by matrix products; the
+k best of all chunks of a query are merged at the end.
 
 Defined cases: vectors that are null or hold a null or a non-finite component take no part, nor do rows with a null id;
 shorter vectors count as padded with zeros; a query's own id is no candidate; a repeated candidate row
 counts each time, a repeated query id once, with the least of its vectors; ties go to the smaller id; fewer than k
-candidates give that many rows; an empty table gives an empty result. Scores beyond 64 bits raise an error.
+candidates give that many rows; an empty table gives an empty result; other columns are ignored. Scores beyond 64 bits
+raise an error.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-K, SCALE, PIVOTS, SAMPLE, BLOCK, CHUNK = 20, 64, 63, 1024, 1024, 50_000
+K, SCALE, PIVOTS, SAMPLE, BLOCK, CHUNK = 20, 64, 63, 1024, 8192, 50_000
+#: Scores worked out at once.
+_AT_ONCE = 1 << 22
 _EXACT = 2.0**53
 
 
@@ -65,7 +69,7 @@ def _cells(batches, pivots):
         v = _matrix(batch.column(1), p.shape[1]).astype(float)
         d = np.sqrt(np.maximum((v**2).sum(1)[:, None] + (p**2).sum(1) - 2 * v @ p.T, 0))
         cell = d.argmin(1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(v)), cell])], ["vec_id", "q", "cell", "far"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(v)), cell])], ["vec_id", "q", "nth", "cell", "far"])
 
 
 def _needs(batches, k, pivots, radii, ids, sample):
@@ -77,8 +81,10 @@ def _needs(batches, k, pivots, radii, ids, sample):
         bound = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(v), -np.inf)
         most = v @ p.T + np.sqrt((v.astype(float) ** 2).sum(1))[:, None] * radii
         slack = 1e-9 * (np.abs(most) + 1) + 1e-3
-        mask = ((most + slack >= bound[:, None]).astype(np.int64) << np.arange(len(radii))).sum(1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mask), pa.array(np.where(np.isfinite(bound), bound, -(2.0**62)).astype(np.int64))], [*batch.schema.names, "mask", "bound"])
+        row, cell = np.nonzero(most + slack >= bound[:, None])
+        ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(v)))]
+        cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, cells, pa.array(np.where(np.isfinite(bound), bound, -(2.0**62)).astype(np.int64))], [*batch.schema.names, "cells", "bound"])
 
 
 def _best(row, score, vec, k):
@@ -90,8 +96,8 @@ def _best(row, score, vec, k):
     return row[keep], score[keep], vec[keep]
 
 
-def _solve(batches, k, dims, step=2000):
-    """Rows (block, chunk, kind, vec_id, q, bound), sorted: a block's queries, then the data of a chunk."""
+def _solve(batches, k, dims):
+    """Rows (block, cell, chunk, kind, vec_id, q, bound), sorted: queries of a block, then the data of a chunk."""
 
     def close(state):
         if state is not None:
@@ -100,22 +106,23 @@ def _solve(batches, k, dims, step=2000):
 
     at, state = None, None
     for batch in batches:
-        key = np.c_[batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()]
+        key = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
         edges = np.r_[0, np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1, len(key)]
         for s, e in zip(edges[:-1], edges[1:]):
             if s == e:
                 continue
             part = batch.slice(s, e - s)
-            v, ids, group = _matrix(part.column(4), dims), part.column(3).to_numpy(), tuple(key[s, :2])
+            v, ids, group = _matrix(part.column(5), dims), part.column(4).to_numpy(), tuple(key[s, :3])
             if group != at:
                 yield from close(state)
                 at, state = group, None
-            if key[s, 2] == 0:
-                bound = part.column(5).to_numpy()
+            if key[s, 3] == 0:
+                bound = part.column(6).to_numpy()
                 if state is not None:
                     v, ids, bound = np.r_[state["v"], v], np.r_[state["ids"], ids], np.r_[state["bound"], bound]
                 state = {"v": v, "ids": ids, "bound": bound.copy(), "found": []}
                 continue
+            step = max(1, _AT_ONCE // len(state["ids"])) if state is not None else 1
             for i in range(0, len(ids) if state is not None else 0, step):
                 sc = _products(state["v"], v[i : i + step])
                 row, col = np.nonzero((sc >= state["bound"][:, None]) & (state["ids"][:, None] != ids[i : i + step]))
@@ -142,36 +149,37 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE) -
     sample = np.zeros((len(some), dims), np.int64)
     for i, r in enumerate(some):
         sample[i, : len(r["q"])] = r["q"]
-    ids, pivots = np.array([r["vec_id"] for r in some]), sample[:PIVOTS]
-    placed = cut(data.mapInArrow(partial(_cells, pivots=pivots), "vec_id long, q array<bigint>, cell int, far double"), "cells")
-    radii = np.zeros(len(pivots))
-    for r in placed.groupBy("cell").agg(F.max("far").alias("far")).collect():  # a row for each of at most PIVOTS cells
-        radii[r["cell"]] = r["far"]
+    ids, pivots = np.array([r["vec_id"] for r in some]), sample[: max(PIVOTS, total // CHUNK)]
+    numbered = data.withColumn("nth", F.monotonically_increasing_id())  # written down, so that it stays; deals out repeated ids
+    placed = cut(numbered.mapInArrow(partial(_cells, pivots=pivots), "vec_id long, q array<bigint>, nth long, cell int, far double"), "cells")
+    radii, chunks = np.zeros(len(pivots)), {}
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each of at most SAMPLE cells
+        radii[r["cell"]], chunks[r["cell"]] = r["far"], math.ceil(r["n"] / CHUNK)
     asked = placed.filter(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min(F.struct("q", "cell")).alias("v")).select("vec_id", "v.q", "v.cell")
-    asked = cut(asked.mapInArrow(partial(_needs, k=k, pivots=pivots, radii=radii, ids=ids, sample=sample), "vec_id long, q array<bigint>, cell int, mask long, bound long"), "queries")
-    cells = {r["cell"]: (r["n"], r["mask"]) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.bit_or("mask").alias("mask")).collect()}
-    order = sorted(cells, key=lambda c: (float(pivots[c] @ pivots[0]), c))  # neighbours by direction share a block
-    first, blocks, held = {}, [], 0  # cell → (its first block, number of blocks); the mask of each block
-    for c in order:
-        n, mask = cells[c]
+    asked = cut(asked.mapInArrow(partial(_needs, k=k, pivots=pivots, radii=radii, ids=ids, sample=sample), "vec_id long, q array<bigint>, cell int, cells array<int>, bound long"), "queries")
+    sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as few
+    first, blocks, held = {}, 0, 0  # cell → (its first block, number of blocks)
+    for c in sorted(sizes, key=lambda c: (float(pivots[c] @ pivots[0]), c)):  # neighbours by direction share a block
+        n = sizes[c]
         if n >= BLOCK:
-            first[c] = (len(blocks), math.ceil(n / BLOCK))
-            blocks += [mask] * first[c][1]
-            held = 0
+            first[c], held = (blocks, math.ceil(n / BLOCK)), 0
+            blocks += first[c][1]
             continue
         if not held or held + n > BLOCK:
-            blocks.append(0)
-            held = 0
-        first[c], held = (len(blocks) - 1, 1), held + n
-        blocks[-1] |= mask
+            blocks, held = blocks + 1, 0
+        first[c], held = (blocks - 1, 1), held + n
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chunks = max(1, math.ceil(total / CHUNK))
-    mine = spark.createDataFrame([(c, b, n) for c, (b, n) in first.items()], "cell int, base int, n int")
-    queries = asked.join(F.broadcast(mine), "cell").select(F.expr("base + cast(pmod(xxhash64(vec_id), n) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "q", "bound")
-    wanted = spark.createDataFrame([(c, b) for b, mask in enumerate(blocks) for c in range(len(pivots)) if mask >> c & 1], "cell int, block int")
-    copies = placed.join(wanted, "cell").select("block", F.expr(f"cast(pmod(xxhash64(vec_id, 1), {chunks}) as int)").alias("chunk"), F.lit(1).alias("kind"), "vec_id", "q", F.lit(0).cast("long").alias("bound"))
-    dealt = queries.union(copies).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    mine = spark.createDataFrame([(c, b, n) for c, (b, n) in first.items()], "cell int, base int, n int")  # a row a cell
+    parts = spark.createDataFrame(list(chunks.items()), "cell int, chunks int")  # a row a cell
+    block = F.expr("base + cast(pmod(xxhash64(vec_id), n) as int)").alias("block")
+    needed = asked.join(F.broadcast(mine), "cell").select(block, F.explode("cells").alias("cell"), "vec_id", "q", "bound")
+    chunk = F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")
+    queries = needed.join(F.broadcast(parts), "cell").select("block", "cell", chunk, F.lit(0).alias("kind"), "vec_id", "q", "bound")
+    wanted = needed.select("block", "cell").distinct().join(F.broadcast(parts), "cell").select("block", "cell", chunk)
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("chunk", F.expr("cast(pmod(xxhash64(vec_id, nth), chunks) as int)"))
+    copies = dealt.join(wanted, ["cell", "chunk"]).select("block", "cell", "chunk", F.lit(1).alias("kind"), "vec_id", "q", F.lit(0).cast("long").alias("bound"))
+    dealt = queries.union(copies).repartition("block", "cell", "chunk").sortWithinPartitions("block", "cell", "chunk", "kind")
     found = dealt.mapInArrow(partial(_solve, k=k, dims=dims), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
