@@ -3,8 +3,9 @@
 An item of m words is compared with the windows of m words of every document, by weighted (counted) shingles of WIDTH
 words; a window leaks an item at a similarity, shared over all, of at least SIMILARITY. Windows are fingerprinted by
 SimHash. RADIUS + 1 Hamming blocks guarantee that a fingerprint within RADIUS bits of an item's agrees with it on one
-block whole, so an equi-join on (words, block, value) finds all of them, each at its first such block; the exact
-similarity then verifies them. RADIUS is so wide that a window of the similarity asked for passes it but for once in
+block whole, so an equi-join on (item, block, value) finds all of them, each at its first such block; the exact
+similarity then verifies them. At a similarity of 0.8 some 15 % of the bits differ, so blocks that guarantee it are 2 or 3
+bits wide and select little (two random fingerprints share one with a chance of 0.993): the item is part of the key. RADIUS is so wide that a window of the similarity asked for passes it but for once in
 about a million (the expected distance at 0.8 is 10 bits of 64, the deviation 3), and it costs little, as most windows
 are ruled out before, without loss: a window that leaks shares at least `need` of an item's k shingles (`least` if it is a whole shorter document), so it holds
 one of any k - need + 1 of them (the seeds), and it reaches its best similarity where it begins at a shared shingle, or
@@ -12,7 +13,8 @@ at the document's end, with `need` shared positions inside. Documents are search
 hashes meet a Bloom filter of all seeds, as literal words of a bit set, before anything is exploded or joined.
 
 Defined cases: a document shorter than an item is, where asked, its one window; a document or item without words leaks nothing; items of fewer than WIDTH words are one shingle of all
-their words; a null doc_id or item_id is kept as null; repeated rows are judged row by row; empty tables give no rows.
+their words; a null doc_id or item_id is kept as null; repeated rows are judged row by row; other columns, whatever their names, are
+ignored; texts are read whole, however long; empty tables give no rows.
 Shingles are compared as 64-bit hashes.
 """
 
@@ -95,29 +97,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFra
     filled = dict(places.groupBy(F.expr("cast(p div 64 as int)").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).collect())
     bloom = "cast(split('" + ",".join(str(filled.get(i, 0)) for i in range(bits // 64)) + "', ',') as array<bigint>)"  # a constant
     hit = " and ".join(f"(get({bloom}, cast((shiftrightunsigned(h, {s}) & {bits - 1}L) div 64 as int)) & shiftleft(1L, cast(shiftrightunsigned(h, {s}) & 63L as int))) <> 0" for s in (0, 32))
-    widths = [r[0] for r in items.select("w").distinct().collect()]  # at most WIDTH
-    found = None
-    for w in sorted(widths):
-        mine = items.filter(F.col("w") == w)
-        # each explode of one element keeps what it makes from being worked out again by what stands above
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(_hashed(words_of(F.col("text"))))).alias("words"))
-        rows = rows.select("row", "doc_id", F.explode(F.array(F.expr(shingles("words", str(w))))).alias("hashes"))
-        rows = rows.select("row", "doc_id", "hashes", F.explode(F.expr(f"filter(array(array_distinct(filter(hashes, h -> {hit}))), x -> size(x) > 0)")).alias("hits"))
-        suspects = cut(rows, "suspects")
-        pairs = suspects.select("row", F.explode("hits").alias("h")).join(_maybe_broadcast(seeds.filter(F.col("w") == w).select("h", "item"), n_seeds), "h").select("row", "item").distinct()
-        asked = pairs.groupBy("row").agg(F.collect_set("item").alias("items"))  # a document's own candidates
-        wide = suspects.select("row", "doc_id", "hashes").join(asked, "row").select("row", "doc_id", "hashes", F.explode("items").alias("item"))
-        wide = wide.join(_maybe_broadcast(mine.select("item", "m", "k", "need", "least", F.col("hashes").alias("own")), total), "item")
-        spots = "filter(sequence(0, size(hashes) - 1), i -> array_contains(own, hashes[i]))"
-        starts = wide.filter("size(hashes) >= k").withColumn("spots", F.expr(spots)).filter("size(spots) >= need")
-        begin = "transform(filter(sequence(0, size(spots) - need), j -> spots[j] <= size(hashes) - k and spots[j + need - 1] < spots[j] + k), j -> spots[j])"
-        end = "if(spots[size(spots) - need] >= size(hashes) - k, array(size(hashes) - k), array())"
-        windows = starts.withColumn("at", F.explode(F.array_distinct(F.concat(F.expr(begin), F.expr(end))))).select("row", "doc_id", "m", "at", F.expr("slice(hashes, at + 1, k)").alias("hashes"))
-        if short:
-            fewer = wide.filter("size(hashes) < k and size(hashes) >= `least`").withColumn("spots", F.expr(spots)).filter(f"size(spots) >= {SIMILARITY} / (1 + {SIMILARITY}) * (k + size(hashes)) - 1e-9")
-            windows = windows.union(fewer.select("row", "doc_id", "m", F.lit(0).alias("at"), "hashes"))
-        windows = windows.withColumn("fp", F.expr(fingerprint("hashes", most)))
-        found = _matches(windows, mine, n_items) if found is None else found.union(_matches(windows, mine, n_items))
+    widths = sorted(r[0] for r in items.select("w").distinct().collect())  # at most WIDTH
+    # one scan for all widths; each explode of one element keeps what it makes from being worked out again by what stands above
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(_hashed(words_of(F.col("text"))))).alias("words"))
+    each = F.array(*(F.struct(F.lit(w).alias("w"), F.expr(shingles("words", str(w))).alias("hashes")) for w in widths))
+    rows = rows.select("row", "doc_id", F.explode(each).alias("x")).select("row", "doc_id", "x.w", "x.hashes")
+    rows = rows.select("row", "doc_id", "w", "hashes", F.explode(F.expr(f"filter(array(array_distinct(filter(hashes, h -> {hit}))), x -> size(x) > 0)")).alias("hits"))
+    suspects = cut(rows, "suspects")
+    pairs = suspects.select("row", "w", F.explode("hits").alias("h")).join(_maybe_broadcast(seeds.select("w", "h", "item"), n_seeds), ["w", "h"]).select("row", "w", "item").distinct()
+    own = items.select("item", "m", "k", "need", "least", F.col("hashes").alias("own"))
+    wide = suspects.select("row", "w", "doc_id", "hashes").join(pairs, ["row", "w"]).join(_maybe_broadcast(own, total), "item")
+    spots = "filter(sequence(0, size(hashes) - 1), i -> array_contains(own, hashes[i]))"
+    starts = wide.filter("size(hashes) >= k").withColumn("spots", F.expr(spots)).filter("size(spots) >= need")
+    begin = "transform(filter(sequence(0, size(spots) - need), j -> spots[j] <= size(hashes) - k and spots[j + need - 1] < spots[j] + k), j -> spots[j])"
+    end = "if(spots[size(spots) - need] >= size(hashes) - k, array(size(hashes) - k), array())"
+    windows = starts.withColumn("at", F.explode(F.array_distinct(F.concat(F.expr(begin), F.expr(end))))).select("row", "doc_id", "item", "at", F.expr("slice(hashes, at + 1, k)").alias("hashes"))
+    if short:
+        fewer = wide.filter("size(hashes) < k and size(hashes) >= `least`").withColumn("spots", F.expr(spots)).filter(f"size(spots) >= {SIMILARITY} / (1 + {SIMILARITY}) * (k + size(hashes)) - 1e-9")
+        windows = windows.union(fewer.select("row", "doc_id", "item", F.lit(0).alias("at"), "hashes"))
+    found = _matches(windows.withColumn("fp", F.expr(fingerprint("hashes", most))), items, n_items)
     best = found.groupBy("row", "doc_id", "item", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("at"), F.col("words").alias("m"), F.col("distance"))).alias("b"))
     return best.select("row", "doc_id", "item_id", F.col("b.at").alias("start_word"), F.col("b.m").alias("n_words"), (-F.col("b.s")).alias("similarity"), F.col("b.distance").alias("distance"))
 
@@ -127,11 +125,11 @@ def _keys(fp: str) -> Column:
 
 
 def _matches(windows: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
-    """Windows within RADIUS bits of an item of their length, found by equal blocks, and verified exactly."""
-    table = items.select("m", "item", "item_id", "counted", "k", F.col("fp").alias("own"), _keys("fp"))
-    probes = windows.select("row", "doc_id", "m", "at", "hashes", "fp", _keys("fp"))
+    """Windows within RADIUS bits of the item whose seed they hold, found by equal blocks, and verified exactly."""
+    table = items.select("item", "item_id", "m", "counted", "k", F.col("fp").alias("own"), _keys("fp"))
+    probes = windows.select("row", "doc_id", "item", "at", "hashes", "fp", _keys("fp"))
     first = " and ".join(f"(block <= {b} or {block('(fp ^ own)', b)} <> 0)" for b in range(RADIUS))
-    near = probes.join(_maybe_broadcast(table, n_items * (RADIUS + 1)), ["m", "block", "value"]).filter(F.expr(f"bit_count(fp ^ own) <= {RADIUS} and {first}"))
+    near = probes.join(_maybe_broadcast(table, n_items * (RADIUS + 1)), ["item", "block", "value"]).filter(F.expr(f"bit_count(fp ^ own) <= {RADIUS} and {first}"))
     shared = "aggregate(counted, 0, (a, x) -> a + least(x.n, size(filter(hashes, y -> y = x.h))))"
     near = near.withColumn("shared", F.explode(F.array(F.expr(shared)))).withColumn("similarity", F.expr("shared / (k + size(hashes) - shared)"))
     return near.filter(F.col("similarity") >= SIMILARITY).select("row", "doc_id", "item", "item_id", F.expr(f"size(hashes) + least(m, {WIDTH}) - 1").alias("words"), "at", "similarity", F.expr("cast(bit_count(fp ^ own) as int)").alias("distance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a local session gets a
+    folder of its own; on a cluster it is an error, as executors would write to their own disks."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="refloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="refloom-"))
+        path = _LOCAL[0]
     return path.rstrip("/")
 
 
@@ -38,10 +46,33 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+#: The tables written by ``cut`` inside each open ``scratch``.
+_OPEN: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; one that is not there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``cut`` writes inside are removed at the end, but for those to ``keep``: what leaves must be kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost no recomputation."""
     path = fresh_dir(df.sparkSession, tag)
     df.write.parquet(path)
+    if _OPEN[: len(_OPEN) - keep]:
+        _OPEN[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,14 +13,15 @@ MAX_LABELLED = 6000
 def labelled_sample(docs: DataFrame, labels: DataFrame, values: list[str], limit: int = MAX_LABELLED) -> DataFrame:
     """``(doc_id, text, *values)`` of about ``limit`` labelled documents, all if there are fewer.
 
-    Labels with a null are left out; of repeated labels of a document the smallest values count. The chosen labels
-    number about ``limit`` whatever the input, so they are broadcast.
+    Labels with a null are left out; of repeated labels of a document the smallest values count, of repeated rows of a
+    document the smallest text, so the rows are no more than the chosen labels. These number about ``limit`` whatever the
+    input, so they are broadcast.
     """
     known = labels.dropna(subset=["doc_id", *values]).groupBy("doc_id").agg(*(F.min(v).alias(v) for v in values))
     total = known.count()
     part = min(1.0, limit / max(1, total))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *values).agg(F.min("text").alias("text"))
 
 
 def lbfgs(loss, x: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray:

@@ -3,12 +3,15 @@
 The rating of a labelled document has three grades: 0 low quality, 1 good but toxic, 2 good and not toxic. One weight
 vector over hashed text features is shared by all grades; ordered thresholds turn its score into P(grade > j), which
 gives the expected grade and the tail probability for selection: P(grade >= 1) of at least KEEP_FROM keeps a document.
-A document's text is hashed as the shapes of its white-space-separated tokens (letters, capitals, digits and marks with
-runs collapsed) and its immediate repetitions into BUCKETS buckets; the features are the square roots of the shares, so length plays no part.
+A document's white-space-separated tokens are hashed twice: lower-cased into WORDS buckets, and as their shapes (letters,
+capitals, digits and marks with runs collapsed), with immediate repetitions, into BUCKETS buckets before them; the
+features are the square roots of the shares, so length plays no part.
 
 Fitted on a bounded sample of labelled documents (learn.MAX_LABELLED); applied to whole texts of all documents.
 Defined cases: a null or empty text has no features and is judged by the thresholds alone; without labelled documents,
-or if all have one grade, that grade (2 without any) is certain; repeated rows are judged alike.
+or if all have one grade, that grade (2 without any) is certain; a null doc_id is kept as null; repeated rows are judged
+alike; other columns, whatever their names, are ignored by ``judge`` and kept by ``select``; an empty table gives an empty
+result; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .learn import fit_ordinal, labelled_sample, sigmoid
 
-GRADES, BUCKETS, KEEP_FROM = 3, 1024, 0.5
+GRADES, BUCKETS, WORDS, KEEP_FROM = 3, 1024, 2048, 0.5
 #: The bucket of tokens that repeat the token before them.
 AGAIN = 0
 MEMORY, LONGEST = 50_000, 64
@@ -35,13 +38,13 @@ _RULES = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", lambda m: ("X" if m[0].
 
 
 class Shapes(dict):
-    """Token → bucket of its shape."""
+    """Token → buckets of its shape and of itself; a bounded part is remembered."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> tuple[int, int]:
         shape = token
         for pattern, to in _RULES:
             shape = pattern.sub(to, shape)
-        got = zlib.crc32(shape[:LONGEST].encode()) % BUCKETS
+        got = zlib.crc32(shape.encode()) % BUCKETS, BUCKETS + zlib.crc32(token.lower().encode()) % WORDS
         if len(token) <= LONGEST:
             if len(self) >= MEMORY:
                 self.clear()
@@ -55,9 +58,13 @@ _SHAPES = Shapes()
 def features(text: str | None) -> tuple[list[int], list[float]]:
     """Buckets and values of a text."""
     words = (text or "").split()
-    counts, total = Counter(map(_SHAPES.__getitem__, words)), len(words)
+    counts, total = {}, len(words)
+    for word, n in Counter(words).items():
+        a, b = _SHAPES[word]
+        counts[a] = counts.get(a, 0) + n
+        counts[b] = counts.get(b, 0) + n
     if again := sum(map(eq, words, words[1:])):
-        counts[AGAIN] += again
+        counts[AGAIN] = counts.get(AGAIN, 0) + again
     return list(counts), [(n / total) ** 0.5 for n in counts.values()]
 
 
@@ -85,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalQuality:
     grades = np.array([r["grade"] for r in rows], np.int64)
     if len(set(grades.tolist())) < 2:
         sure = int(grades[0]) if len(grades) else GRADES - 1
-        return OrdinalQuality(np.zeros(BUCKETS), np.array([-50.0 if j < sure else 50.0 for j in range(GRADES - 1)]))
-    x = np.zeros((len(rows), BUCKETS))
+        return OrdinalQuality(np.zeros(BUCKETS + WORDS), np.array([-50.0 if j < sure else 50.0 for j in range(GRADES - 1)]))
+    x = np.zeros((len(rows), BUCKETS + WORDS))
     for i, r in enumerate(rows):
         x[i, r["at"]] = r["value"]
     return OrdinalQuality(*fit_ordinal(x, grades, GRADES, ridge=0.05))

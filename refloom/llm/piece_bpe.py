@@ -7,8 +7,9 @@ letter to a following space mark or to a punctuation mark that follows such a le
 no piece, so a text is encoded unit by unit (space marks and what follows up to the next such place) and the units met most are remembered. Runs of spaces, whose pieces share one score and merge from the left, and characters
 outside the vocabulary, which fall back to bytes, bound the table.
 
-Defined cases: a null or empty text has no ids and decodes to the empty text; whole texts are encoded, however long;
-other columns are kept out of the way.
+Defined cases: a null or empty text has no ids and decodes to the empty text; whole texts are encoded, however long; a
+null doc_id is kept as null; repeated rows are encoded each; other columns, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -285,9 +286,10 @@ class _Packed(dict):
 
     def __missing__(self, key: str) -> bytes:
         got = array("i", map(int, key.split(","))).tobytes()
-        if len(self) >= PACKED:
-            self.clear()
-        self[key] = got
+        if len(key) <= 4 * LONGEST:
+            if len(self) >= PACKED:
+                self.clear()
+            self[key] = got
         return got
 
 
@@ -300,9 +302,10 @@ class _Decoded(dict):
 
     def __missing__(self, key: str) -> bytes:
         got = b"".join(self.owner.raw[int(x)] for x in key.split(",")).replace(SPACE.encode(), b" ")
-        if len(self) >= MEMORY:
-            self.clear()
-        self[key] = got
+        if len(key) <= 4 * LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[key] = got
         return got
 
 

@@ -60,18 +60,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.judge(docs, ordinal_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def url_host_path_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 9 that is no mining: host, path and fixed rule of every url, and that rule's verdict."""
+    return url_rules.prepare(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.col("label").alias("fixed_verdict"))
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's law and losslessness: rows, slots and bytes of every shard and of all."""
+    found = op6_sharding(spark, sf_dir)
+    each = found.groupBy("shard").agg(F.count("*").alias("rows"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
+    whole = found.agg(F.sum("size").alias("bytes"), F.count_distinct("doc_id").alias("documents"))
+    return each.crossJoin(whole)  # one row
+
+
+def token_count_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 3 that SQL can express."""
+    return op3_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_tokens") > word_bpe_count.LIMIT).alias("over"), "over_limit").select("doc_id", "n_bytes", (F.col("over") == F.col("over_limit")).alias("agrees"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_counts, op4_simhash, op5_toxicity, op6_sharding, op7_decontamination, op8_topk, op9_url_filter, op10_quality)
+    f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_counts, op4_simhash, op5_toxicity, op6_sharding, op7_decontamination, op8_topk, op9_url_filter, op10_quality, url_host_path_rule, shard_totals, token_count_bytes)
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": """
-        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d, row_number() OVER (PARTITION BY sha256(coalesce(html, '')) ORDER BY page_id NULLS LAST) AS r FROM pages),
         g AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
         SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
-               CASE WHEN p.page_id <> g.first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN p.page_id <> g.first_id THEN g.first_id END AS refers_to
+               CASE WHEN r > 1 AND p.page_id IS NOT NULL AND g.d IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN r > 1 AND p.page_id IS NOT NULL AND g.d IS NOT NULL THEN g.first_id END AS refers_to
         FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100""",
+    "url_host_path_rule": """
+        WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS t FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(rh, rp, verdict)),
+        fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT h.page_id, host, path, rule, verdict AS fixed_verdict FROM h LEFT JOIN fit USING (page_id)""",
+    "shard_totals": """
+        WITH n AS (SELECT count(*) AS n, CAST(sum(coalesce(strlen(text), 0) + 16) AS BIGINT) AS bytes, count(DISTINCT doc_id) AS documents FROM documents)
+        SELECT CAST(i AS INTEGER) AS shard, n * (i + 1) // 40 - n * i // 40 AS rows, CAST(0 AS BIGINT) AS first, n * (i + 1) // 40 - n * i // 40 - 1 AS last, n * (i + 1) // 40 - n * i // 40 AS slots, bytes, documents
+        FROM n, range(40) AS t(i) WHERE n * (i + 1) // 40 > n * i // 40""",
+    "token_count_bytes": "SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, true AS agrees FROM documents",
     "op8_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

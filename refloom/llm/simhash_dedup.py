@@ -10,7 +10,8 @@ each; at every level the difference that is left, of at most RADIUS bits, is at
 
 Defined cases: a null or wordless text has fingerprint 0, linked like any other; fewer words than a shingle make one
 shingle of all of them; a null doc_id keeps its fingerprint, links to nothing and has a null component; repeated rows
-stay, each with the same component; an empty table gives an empty result; other columns are ignored.
+stay, each with the same component; texts are read whole, however long; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

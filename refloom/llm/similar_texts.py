@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, join_groups, small_batches
+from .common import components, cut, drop_rows, join_groups, scratch, small_batches
 from .simhash_dedup import links
 
 WIDTH, SIMILARITY, SIGNATURE, BANDS, ROWS = 5, 0.8, 128, 24, 3
@@ -213,7 +213,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without all but the first of each group, all columns as they are."""
-    marked = cut(groups(docs), "groups")
+    with scratch(docs.sparkSession):
+        marked = cut(groups(docs), "groups", keep=True)
     n, ids = marked.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if n == ids:
         return drop_rows(docs, marked.filter("doc_id <> component_id").select("doc_id"), "doc_id")

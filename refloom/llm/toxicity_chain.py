@@ -1,21 +1,24 @@
 """Operator 5: toxicity by a classifier chain.
 
-The categories are judged in order. Each has a linear model over the presence of hashed words (32-bit hashes of
-lower-cased words and of their beginnings, those kept that tell the category best in the training rows) and over the probabilities of the
-categories before it; while fitting, those probabilities are out-of-fold ones. The table labels only the last category,
+The categories are judged in order. Each has a linear model over the presence and density of hashed words (32-bit hashes
+of lower-cased words and of their beginnings, those kept that tell the category best in the training rows) and over the
+probabilities of the categories before it; while fitting, those probabilities are out-of-fold ones. The table labels only the last category,
 `toxic`. The earlier ones are weak labels: a document labelled toxic that has a word of the category's list; a list only
 says what a category is about, and the words a model uses are learned. A document is rejected if P(toxic) is at least
 REJECT_FROM.
 
 Fitted on a bounded sample of labelled documents (learn.MAX_LABELLED); applied to whole texts of all documents.
 Defined cases: a null or empty text has no words, and the intercepts judge it; without toxic labels every probability
-is about 0, and without labels exactly 0; repeated rows are judged alike.
+is about 0, and without labels exactly 0; a null doc_id is kept as null; repeated rows are judged alike; other columns,
+whatever their names, are ignored by ``judge`` and kept by ``select``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -29,6 +32,8 @@ from .learn import fit_logistic, labelled_sample, sigmoid
 REJECT_FROM, FOLDS, KEPT_WORDS = 0.5, 3, 256
 PREFIXES, CANDIDATES = (4, 5, 7), 4096
 MEMORY, LONGEST = 200_000, 64
+#: What a word counts: PRESENT, and more the denser it is, per DENSITY words; short texts count as SHORT words longer.
+PRESENT, DENSITY, SHORT = 0.3, 200, 20
 #: What the weakly labelled categories are about.
 CATEGORIES = {
     "insult": "idiot moron stupid dumb fool loser clown imbecile jerk".split(),
@@ -44,35 +49,49 @@ def forms(word: str) -> list[int]:
     return [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}-".encode()) for n in PREFIXES if len(word) > n)]
 
 
-def word_hashes(text: str | None) -> set[int]:
-    return {h for w in set(_WORD.findall((text or "").lower())) for h in forms(w)}
+def value(count: int, total: int) -> float:
+    """The feature of a hash that ``count`` of a text's ``total`` words have."""
+    return PRESENT + math.log1p(DENSITY * count / (total + SHORT))
+
+
+def word_hashes(text: str | None, known=None) -> dict[int, float]:
+    """Values of the hashes of a text, of those that ``known`` gives for a word if it is given."""
+    words, counts = Counter(_WORD.findall((text or "").lower())), {}
+    for w, n in words.items():
+        for h in forms(w) if known is None else known[w]:
+            counts[h] = counts.get(h, 0) + n
+    total = words.total()
+    return {h: value(n, total) for h, n in counts.items()}
 
 
 def _hashes(batches):
-    """Hashes of each text, and its labels by category: the weak ones, then that of the table."""
+    """Hashes of each text and their values, and its labels by category: the weak ones, then that of the table."""
     lists = [{zlib.crc32(w.encode()) for w in ws} for ws in CATEGORIES.values()]
     for batch in batches:
         toxic = [int(bool(t)) for t in batch.column(0).to_pylist()]
-        words = [word_hashes(t.as_py()) for t in batch.column(1)]
-        weak = [pa.array([t if not s.isdisjoint(w) else 0 for t, w in zip(toxic, words)], pa.int32()) for s in lists]
-        yield pa.RecordBatch.from_arrays([pa.array([sorted(w) for w in words], pa.list_(pa.int64())), *weak, pa.array(toxic, pa.int32())], ["words", *NAMES])
+        words = [sorted(word_hashes(t.as_py()).items()) for t in batch.column(1)]
+        weak = [pa.array([t if any(h in s for h, _ in w) else 0 for t, w in zip(toxic, words)], pa.int32()) for s in lists]
+        lists_ = [pa.array([[x[k] for x in w] for w in words], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*lists_, *weak, pa.array(toxic, pa.int32())], ["words", "of", *NAMES])
 
 
 def _within(batches, known):
     for batch in batches:
-        words = [[h for h in w if h in known] for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64())), *batch.columns[1:]], batch.schema.names)
+        rows = [[(h, v) for h, v in zip(w, x) if h in known] for w, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        lists = [pa.array([[x[k] for x in w] for w in rows], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*lists, *batch.columns[2:]], batch.schema.names)
 
 
 class _Presence:
-    """Which of the hashes in at least 2 rows each row has, as positions."""
+    """Which of the hashes in at least 2 rows each row has, as positions, and their values."""
 
-    def __init__(self, words: list[np.ndarray]):
-        ids, at, df = np.unique(np.concatenate([np.zeros(0, np.int64), *words]), return_inverse=True, return_counts=True)
+    def __init__(self, words: list[dict[int, float]]):
+        ids, at, df = np.unique(np.array([h for w in words for h in w], np.int64), return_inverse=True, return_counts=True)
         row, often = np.repeat(np.arange(len(words)), [len(w) for w in words]), df >= 2
         self.ids, place = ids[often], np.cumsum(often) - 1
         use = often[at]
         self.at, self.row, self.n = place[at[use]], row[use], len(words)
+        self.value = np.array([v for w in words for v in w.values()], float)[use]
 
     def best(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Positions of the KEPT_WORDS hashes with the largest chi-square for y in ``rows``; ties to the smaller hash."""
@@ -91,7 +110,7 @@ class _Presence:
         place = np.full(len(self.ids), -1)
         place[kept] = np.arange(len(kept))
         use, x = place[self.at] >= 0, np.zeros((self.n, len(kept)))
-        x[self.row[use], place[self.at[use]]] = 1
+        x[self.row[use], place[self.at[use]]] = self.value[use]
         return x
 
 
@@ -105,14 +124,14 @@ class Link:
         self.fitted = sigmoid(x @ w[:-1] + w[-1])
         self.words, self.before, self.intercept = dict(zip(words.ids[kept].tolist(), w.tolist())), w[len(kept) : -1].tolist(), float(w[-1])
 
-    def p(self, hashes, before) -> float:
-        z = self.intercept + sum(self.words.get(h, 0.0) for h in hashes) + sum(a * b for a, b in zip(self.before, before))
+    def p(self, values, before) -> float:
+        z = self.intercept + sum(self.words.get(h, 0.0) * v for h, v in values) + sum(a * b for a, b in zip(self.before, before))
         return float(sigmoid(z))
 
 
 class Chain:
-    def __init__(self, words: list[np.ndarray], labels: np.ndarray):
-        """words: distinct hashes of each row; labels: rows × categories, the last the label of the table."""
+    def __init__(self, words: list[dict[int, float]], labels: np.ndarray):
+        """words: hashes of each row and their values; labels: rows × categories, the last the label of the table."""
         n, presence = len(words), _Presence(words)
         fold, out_of_fold = np.arange(n) % FOLDS, np.zeros((n, 0))
         self.links: list[Link] = []
@@ -127,18 +146,18 @@ class Chain:
             del link.fitted
         self.known = {h for link in self.links for h in link.words}
 
-    def judge(self, hashes) -> list[float]:
-        """Probabilities of all categories for a text's hashes."""
-        hashes, out = sorted(h for h in hashes if h in self.known), []
+    def judge(self, words: dict[int, float]) -> list[float]:
+        """Probabilities of all categories for a text's hashes and their values."""
+        values, out = sorted((h, v) for h, v in words.items() if h in self.known), []
         for link in self.links:
-            out.append(link.p(hashes, out))
+            out.append(link.p(values, out))
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     """The chain fitted on the sample. Words are counted on the executors; the driver gets the CANDIDATES words that tell
     some category best, and which of them each sampled document has."""
-    fields = f"words array<bigint>, {', '.join(f'{n} int' for n in NAMES)}"
+    fields = f"words array<bigint>, of array<double>, {', '.join(f'{n} int' for n in NAMES)}"
     sample = labelled_sample(small_batches(docs), labels, ["toxic"]).selectExpr("cast(toxic as int) as toxic", "text")
     rows = cut(sample.mapInArrow(_hashes, fields), "toxic-sample")
     n, *positive = rows.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in NAMES)).first()
@@ -147,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     found = counts.filter(f"df < {n}").select("h", F.greatest(F.lit(0.0), *chi, F.lit(0.0)).alias("chi")).filter("chi > 0") if chi else None
     known = {r["h"] for r in found.orderBy(F.desc("chi"), "h").limit(CANDIDATES).collect()} if chi else set()
     got = rows.mapInArrow(partial(_within, known=known), fields).collect()  # bounded by MAX_LABELLED and CANDIDATES
-    got.sort(key=lambda r: (zlib.crc32(repr(r["words"]).encode()), r["words"], *r[1:]))
-    return Chain([np.array(r["words"], np.int64) for r in got], np.array([r[1:] for r in got], np.int64).reshape(len(got), len(NAMES)))
+    got.sort(key=lambda r: (zlib.crc32(repr(r["words"]).encode()), *r))
+    return Chain([dict(zip(r["words"], r["of"])) for r in got], np.array([r[2:] for r in got], np.int64).reshape(len(got), len(NAMES)))
 
 
 class _Known(dict):
@@ -168,13 +187,10 @@ class _Known(dict):
 
 
 def _probabilities(texts, chain, known):
-    cache: dict[tuple, list[float]] = {}
+    none = chain.judge({})
     for t in texts:
-        hit = set(map(known.__getitem__, set(_WORD.findall((t.as_py() or "").lower()))))
-        key = tuple(sorted({h for hs in hit for h in hs}))
-        if key not in cache:
-            cache[key] = chain.judge(key)
-        yield cache[key]
+        words = word_hashes(t.as_py(), known)
+        yield chain.judge(words) if words else none
 
 
 def _judge(batches, chain, reject_from):

@@ -8,10 +8,12 @@ then support, then fewest tokens decides. In the query the labelled URLs are tho
 
 A URL has at most ten tokens by design (host suffixes, first host label, first two path segments, suffix, first query
 key, fragment), so the itemsets of one URL are at most 2^11 and a URL repeated by a third of all rows cannot blow
-mining up. At most MAX_LABELLED labelled rows, chosen by hash, are mined, and at most MAX_RULES rules are broadcast.
+mining up. About MAX_LABELLED labelled rows, chosen by a hash of page and url, are mined. No rule is dropped: sets of up to
+MAX_TOKENS of ten tokens with a support of MIN_SUPPORT number at most 175 / MIN_SUPPORT, 35,000, whatever the input.
 
 Defined cases: a null URL, or one without `://`, has empty host and path and no tokens; without a matching rule the
-verdict is DEFAULT; repeated rows are judged alike; an empty table gives an empty result.
+verdict is DEFAULT; a null page_id is kept as null; repeated rows are judged alike, urls of any length whole; other columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 #: (host, path prefix, verdict)
 FIXED = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.8, 3
-MAX_LABELLED, MAX_RULES, DEFAULT = 200_000, 5000, "allow"
+MAX_LABELLED, DEFAULT = 200_000, "allow"
 _LABEL = "label="
 
 
@@ -67,20 +69,20 @@ def _order(rule: tuple):
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple]:
-    """Rules ``(tokens, label, confidence, support)`` from rows ``(tokens array<string>, label)``, best first."""
+    """Rules ``(tokens, label, confidence, support)`` from rows ``(page_id, url, tokens, label)``, best first."""
     rows = labelled.filter("label is not null and size(tokens) > 0")
     total = rows.count()
     if not total:
         return []
     part = min(1.0, MAX_LABELLED / total)
-    rows = rows.filter(F.pmod(F.xxhash64("tokens", F.col("url")), F.lit(1 << 30)) < int(part * (1 << 30)))
+    rows = rows.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(part * (1 << 30)))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items")))
     found = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit(_LABEL)) & (F.size("antecedent") <= MAX_TOKENS))
     best = found.select(F.array_sort("antecedent").alias("t"), F.expr(f"substring(consequent[0], {len(_LABEL) + 1})").alias("l"), F.round("confidence", 9).alias("c"), F.round("support", 9).alias("s"))
-    best = best.orderBy(F.desc("c"), F.desc("s"), F.size("t"), "t", "l").limit(MAX_RULES).collect()  # at most MAX_RULES
+    best = best.collect()  # at most 175 / min_support rows
     kept: list[tuple] = []
     held: dict[tuple, float] = {}
-    for r in sorted(best, key=lambda r: (len(r["t"]), -r["c"])):
+    for r in sorted(best, key=lambda r: (len(r["t"]), -r["c"], r["t"], r["l"])):
         t = tuple(r["t"])
         parts_ = [t[:i] + t[i + 1 :] for i in range(len(t))]
         stronger = max((held.get((p, r["l"]), 0.0) for p in parts_ if p), default=0.0)

@@ -12,7 +12,7 @@ k best of all chunks of a query are merged at the end.
 Defined cases: vectors that are null or hold a null or a non-finite component take no part, nor do rows with a null id;
 shorter vectors count as padded with zeros; a query's own id is no candidate; a repeated candidate row
 counts each time, a repeated query id once, with the least of its vectors; ties go to the smaller id; fewer than k
-candidates give that many rows; an empty table gives an empty result; other columns are ignored. Scores beyond 64 bits
+candidates give that many rows; an empty table gives an empty result; other columns, whatever their names, are ignored. Scores beyond 64 bits
 raise an error.
 """
 

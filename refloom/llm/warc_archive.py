@@ -1,7 +1,8 @@
 """Operator 1: a deterministic sharded WARC writer, and its reader.
 
-Records are dealt into shards by ranges of page_id; the bounds come from the pages with the smallest hashes, so they
-depend on the rows alone. Each shard is written in order of page_id, one gzip member a record, and a new file starts
+Records are dealt into shards by ranges of (page_id, hash of the digest); the bounds come from the pages with the smallest
+hashes, so they depend on the rows alone, and neither null ids nor one repeated id are a single shard. Each shard is
+written in that order, one gzip member a record, and a new file starts
 when the compressed size passes ROLL_BYTES. Headers, record ids and digests are made anew from the payload. Of pages
 with equal payloads of at least REVISIT_BYTES bytes the smallest page_id is the response, the others are revisits; which
 pages those are is found from digests alone, and travels to the shards beside the pages, so a page's html is shuffled
@@ -9,19 +10,20 @@ once and a payload that a third of all pages share never meets in one task.
 
 A task writes under temporary names and returns a manifest row for each file; Spark's commit of the manifest keeps the
 rows of just one attempt of each task. Only files in the manifest are then renamed, a step that can be repeated, the
-rest is removed, and MANIFEST.jsonl, renamed last, marks a whole archive. The folder must be one that all executors see,
+rest is removed, and MANIFEST.jsonl, a folder of JSON lines that Spark commits last, marks a whole archive. The folder must be one that all executors see,
 reached through Arrow's file systems (file, hdfs, s3, gs).
 
 Defined cases: null html is an empty payload, empty payloads and those under REVISIT_BYTES are all responses; a null
 page_id is written without an id, is always a response and is referred to by none; of repeated rows of the smallest
-page_id the first is the response and the others revisit it; a null url becomes `urn:page:<id>`, white space in a url is
+page_id the first is the response and the others revisit it (they share a shard, which streams them); very long payloads
+are held one at a time; a null url becomes `urn:page:<id>`, white space in a url is
 percent-encoded; other columns are ignored; an empty table gives an archive without files.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import json
 import math
 import uuid
 import zlib
@@ -34,10 +36,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, join_groups
+from .common import cut, fresh_dir, join_groups, small_batches
 
 REVISIT_BYTES, SHARD_BYTES, ROLL_BYTES = 100, 16 << 20, 64 << 20
-BOUNDS, LEVEL, DATE = 65_536, 6, "1970-01-01T00:00:00Z"
+#: With 16 MB a shard up to 1 TB; beyond it shards grow, and roll into more files.
+MOST_SHARDS, LEVEL, DATE = 65_536, 6, "1970-01-01T00:00:00Z"
 _MANIFEST = "shard int, seq int, temporary string, name string, records long, bytes long, sha256 string"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,22 +68,23 @@ def record(page_id, url, payload: bytes, digest: str, nth: int, first) -> bytes:
 
 
 def _write(batches, folder, roll):
-    """Rows (shard, page_id, kind, digest, first_id, url, html) in order; kind 0 tells that a page revisits, 1 is a page."""
+    """Rows (shard, page_id, digest, kind, first_id, url, html) in order; kind 0 tells that a page revisits, 1 is a page."""
     system, base = _open(folder)
     done, out, now = [], None, {}
-    page, marks, seen = None, {}, {}
+    page, mark, nth = None, None, -1
 
     def close():
         out.close()
         done.append({k: now[k] for k in ("shard", "seq", "temporary", "name", "records", "bytes")} | {"sha256": now["sum"].hexdigest()})
 
     for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["shard"], row["page_id"])
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+            key = (row["shard"], row["page_id"], row["digest"])
             if key != page:
-                page, marks, seen = key, {}, {}
+                page, mark, nth = key, None, -1
             if row["kind"] == 0:
-                marks[row["digest"]] = row["first_id"]
+                mark = row["first_id"]
                 continue
             if out is None or now["shard"] != row["shard"] or now["bytes"] >= roll:
                 seq = 0
@@ -91,9 +95,7 @@ def _write(batches, folder, roll):
                 now = {"shard": row["shard"], "seq": seq, "temporary": f"{name}.{uuid.uuid4().hex}", "name": name, "records": 0, "bytes": 0, "sum": hashlib.sha256()}
                 out = system.open_output_stream(f"{base}/_temporary/{now['temporary']}")
             payload = row["html"] or b""
-            digest = hashlib.sha256(payload).hexdigest()
-            nth = seen[digest] = seen.get(digest, -1) + 1
-            first = marks.get(digest)
+            digest, nth, first = row["digest"], nth + 1, mark
             if first is None and nth and row["page_id"] is not None and len(payload) >= REVISIT_BYTES:
                 first = row["page_id"]
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -119,21 +121,27 @@ def _commit(batches, folder):
         yield batch
 
 
-def _shards(pages_meta: DataFrame, total: int, shard_bytes: int):
-    """(number of shards, shard of a page_id column): equal ranges by the pages with the smallest hashes."""
-    n = max(1, min(math.ceil(total / shard_bytes), BOUNDS // 8))
-    some = pages_meta.filter("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(min(BOUNDS, 64 * n)).collect()  # at most BOUNDS ids
-    ids = np.sort(np.array([r[0] for r in some], np.int64))
-    bounds = np.unique(ids[[len(ids) * i // n for i in range(1, n)]]) if len(ids) else ids
+_FIRST = -(1 << 63)  # where null ids are sorted
+
+
+def _shards(meta: DataFrame, total: int, shard_bytes: int):
+    """(number of shards, shard of page_id and sub): equal ranges by the pages with the smallest hashes."""
+    n = max(1, min(math.ceil(total / shard_bytes), MOST_SHARDS))
+    place = meta.select(F.coalesce("page_id", F.lit(_FIRST)).alias("id"), "sub")
+    some = place.orderBy(F.xxhash64("id", "sub"), "id", "sub").limit(16 * n if n > 1 else 0).collect()  # at most 16 * MOST_SHARDS pairs
+    keys = sorted((r["id"], r["sub"]) for r in some)
+    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+    ids = np.array([x for x, _ in bounds], np.int64)
 
     @F.pandas_udf("int")
-    def shard(ids_: pd.Series) -> pd.Series:
-        known = ids_.notna()
-        out = np.zeros(len(ids_), np.int32)
-        out[known] = np.searchsorted(bounds, ids_[known].astype("int64").to_numpy(), side="right")
-        return pd.Series(out)
+    def shard(page_ids: pd.Series, subs: pd.Series) -> pd.Series:
+        at = page_ids.to_numpy(np.int64)
+        low, high = np.searchsorted(ids, at, side="left"), np.searchsorted(ids, at, side="right")
+        for i in np.flatnonzero(low < high):  # ids that are a bound's: the digest decides
+            low[i] = bisect.bisect_right(bounds, (int(at[i]), int(subs.iloc[i])))
+        return pd.Series(low.astype(np.int32))
 
-    return len(bounds) + 1, shard
+    return len(bounds) + 1, shard(F.coalesce("page_id", F.lit(_FIRST)), F.col("sub"))
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
@@ -142,22 +150,23 @@ def write_archive(pages: DataFrame, folder: str | None = None, shard_bytes: int
     folder = (folder or fresh_dir(spark, "warc")).rstrip("/")
     system, base = _open(folder)
     system.create_dir(f"{base}/_temporary", recursive=True)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode("html", "UTF-8").alias("html"))
-    meta = cut(rows.select("page_id", F.sha2("html", 256).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size")), "payloads")
+    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"))
+    sub = F.xxhash64("digest").alias("sub")
+    meta = cut(rows.select("page_id", "digest", sub, F.octet_length("html").cast("long").alias("size")), "payloads")
     total, n_rows = meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     long = meta.filter(F.col("page_id").isNotNull() & (F.col("size") >= REVISIT_BYTES)).select("page_id", "digest")
     groups = long.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_rows")).filter("n_rows > 1")
     marks = join_groups(long, groups, "digest", n_rows).filter("page_id <> first_id").select("page_id", "digest", "first_id").distinct()
     n, shard = _shards(meta, total, shard_bytes)
-    order = rows.select(shard("page_id").alias("shard"), "page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first_id"), "url", "html")
-    order = order.union(marks.select(shard("page_id").alias("shard"), "page_id", F.lit(0), "digest", "first_id", F.lit(None).cast("string"), F.lit(None).cast("binary")))
-    dealt = order.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", F.sha2("html", 256))
+    order = rows.select("page_id", "digest", sub, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first_id"), "url", "html")
+    order = order.unionByName(marks.select("page_id", "digest", sub, F.lit(0).alias("kind"), "first_id"), allowMissingColumns=True)
+    dealt = order.withColumn("shard", shard).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.coalesce("page_id", F.lit(_FIRST)), "sub", "page_id", "digest", "kind", "url")
+    dealt = dealt.select("shard", "page_id", "digest", "kind", "first_id", "url", "html")
     manifest = cut(dealt.mapInArrow(partial(_write, folder=folder, roll=roll_bytes), _MANIFEST), "manifest")
-    files = [r.asDict() for r in manifest.repartition("name").mapInArrow(partial(_commit, folder=folder), _MANIFEST).orderBy("name").collect()]  # a row a file
+    moved = manifest.repartitionByRange("name").sortWithinPartitions("name").mapInArrow(partial(_commit, folder=folder), _MANIFEST)
+    moved.select(F.to_json(F.struct("name", "records", "bytes", "sha256")).alias("value")).write.mode("overwrite").text(f"{folder}/MANIFEST.jsonl")
     system.delete_dir(f"{base}/_temporary")
-    with system.open_output_stream(f"{base}/MANIFEST.jsonl.tmp") as f:
-        f.write("".join(json.dumps({k: r[k] for k in ("name", "records", "bytes", "sha256")}) + "\n" for r in files).encode())
-    system.move(f"{base}/MANIFEST.jsonl.tmp", f"{base}/MANIFEST.jsonl")
     return folder
 
 
@@ -213,9 +222,6 @@ def _read(batches, folder, payloads):
 
 def read_archive(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload])`` of all records, digests checked."""
-    system, base = _open(folder)
-    with system.open_input_stream(f"{base}/MANIFEST.jsonl") as f:
-        names = [(json.loads(x)["name"],) for x in f.read().decode().splitlines()]
-    files = spark.createDataFrame(names, "name string").repartition(max(1, len(names)), "name")
+    files = spark.read.schema("name string").json(f"{folder}/MANIFEST.jsonl").repartition("name")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return files.mapInArrow(partial(_read, folder=folder, payloads=payloads), schema)

@@ -7,7 +7,8 @@ up, and each worker remembers those it meets most. Normalisation and pre-token s
 library's own components, read from the same file.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; the special strings of the file count as one token each
-wherever they occur; whole texts are counted, however long.
+wherever they occur; whole texts are counted, however long; a null doc_id is kept as null; repeated rows are counted
+each; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +91,9 @@ class WordBPE(dict):
                 if got is None:
                     if len(self.marks) >= MEMORY:
                         self.marks.clear()
-                    got = self.marks[plain[2]] = self.merged(plain[2])
+                    got = self.merged(plain[2])
+                    if len(plain[2]) <= LONGEST:
+                        self.marks[plain[2]] = got
                 return self[plain[1]] + got
         total = len(self.special.findall(text))
         for part in self.special.split(text):
