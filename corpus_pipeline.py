@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, path = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        done, path = path, common.fresh_dir(spark, f"stage-{name}")
+        with common.scratch(spark):  # what the stage wrote on its way is removed
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if done:  # nothing reads the stage before any more
+            common.remove(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
