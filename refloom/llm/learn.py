@@ -55,6 +55,30 @@ def lbfgs(loss, x: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray
     return x
 
 
+class Sparse:
+    """A matrix of few entries a row, as far as fitting needs one: ``x @ w`` and ``x.T @ r``."""
+
+    def __init__(self, at: list[np.ndarray], value: list[np.ndarray], columns: int):
+        self.shape = len(at), columns
+        self.at, self.value = (np.concatenate([np.zeros(0, t), *parts]) for t, parts in ((np.int32, at), (np.float64, value)))
+        self.row = np.repeat(np.arange(len(at), dtype=np.int32), [len(a) for a in at])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * w[self.at], minlength=self.shape[0])
+
+    @property
+    def T(self):
+        return _Transposed(self)
+
+
+class _Transposed:
+    def __init__(self, of: Sparse):
+        self.of = of
+
+    def __matmul__(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of.at, weights=self.of.value * r[self.of.row], minlength=self.of.shape[1])
+
+
 def sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * z))
 

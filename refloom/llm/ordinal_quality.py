@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .learn import fit_ordinal, labelled_sample, sigmoid
+from .learn import Sparse, fit_ordinal, labelled_sample, sigmoid
 
 GRADES, BUCKETS, WORDS, KEEP_FROM = 3, 1024, 2048, 0.5
 #: The bucket of tokens that repeat the token before them.
@@ -69,9 +69,10 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def _features(batches):
+    """Buckets and values of each text, packed: the driver gets them all."""
     for batch in batches:
         got = [features(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), batch.column(0)], ["at", "value", "grade"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.array(b, np.uint16).tobytes() for b, _ in got], pa.binary()), pa.array([np.array(v, np.float32).tobytes() for _, v in got], pa.binary()), batch.column(0)], ["at", "value", "grade"])
 
 
 class OrdinalQuality:
@@ -87,15 +88,13 @@ class OrdinalQuality:
 
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalQuality:
     sample = labelled_sample(small_batches(docs), labels, ["quality", "toxic"]).selectExpr("case when quality = 0 then 0 when toxic = 1 then 1 else 2 end as grade", "text")
-    rows = sample.mapInArrow(_features, "at array<int>, value array<double>, grade int").collect()  # bounded by MAX_LABELLED
-    rows.sort(key=lambda r: (r["grade"], r["at"], r["value"]))
+    rows = sample.mapInArrow(_features, "at binary, value binary, grade int").collect()  # bounded by MAX_LABELLED; a few bytes for each distinct word
+    rows.sort(key=lambda r: (r["grade"], bytes(r["at"]), bytes(r["value"])))
     grades = np.array([r["grade"] for r in rows], np.int64)
     if len(set(grades.tolist())) < 2:
         sure = int(grades[0]) if len(grades) else GRADES - 1
         return OrdinalQuality(np.zeros(BUCKETS + WORDS), np.array([-50.0 if j < sure else 50.0 for j in range(GRADES - 1)]))
-    x = np.zeros((len(rows), BUCKETS + WORDS))
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["value"]
+    x = Sparse([np.frombuffer(r["at"], np.uint16).astype(np.int32) for r in rows], [np.frombuffer(r["value"], np.float32).astype(float) for r in rows], BUCKETS + WORDS)
     return OrdinalQuality(*fit_ordinal(x, grades, GRADES, ridge=0.05))
 
 
