@@ -62,7 +62,9 @@ def field_violations(documents: DataFrame, raw: str = "raw") -> DataFrame:
     nested.append(unknown("$.cases[*].cost", F.transform(cases, lambda c: F.get_json_object(c, "$.cost"))))
     inner = F.flatten(F.transform(cases, lambda c: F.from_json(F.coalesce(F.get_json_object(c, "$.mentions"), F.lit("[]")), "array<string>")))
     nested.append(unknown("$.cases[*].mentions[*]", inner))
-    banned = documents.select(F.get_json_object(raw, "$.runner.parameters").alias("p")).select(F.explode(F.array(*(F.when(F.lower("p").rlike(rf'"{f}"\s*:'), F.lit(f)) for f in FORBIDDEN))).alias("k")).filter("k is not null")
+    # written anew, a name is not escaped and stands right before its colon; inside a string value its quotes are escaped
+    plain = F.lower(F.to_json(F.parse_json(F.get_json_object(raw, "$.runner.parameters"))))
+    banned = documents.select(plain.alias("p")).select(F.explode(F.array(*(F.when(F.col("p").rlike(rf'(?<!\\)"{f}":'), F.lit(f)) for f in FORBIDDEN))).alias("k")).filter("k is not null")
     nested.append(banned.select(F.lit("$.runner.parameters").alias("location"), F.concat(F.lit("forbidden field "), "k").alias("message")))
     return reduce(DataFrame.unionByName, nested)
 
@@ -83,6 +85,8 @@ def violations(cases: DataFrame, mentions: DataFrame, docs: DataFrame, registry:
         _rows(text.join(cases, "doc_id", "left_anti"), F.lit(True), at_case, "missing case"),
         *(_rows(cases, F.col(c) < 0, at_case, f"{c}: expected a non-negative integer") for c in ("model_calls", "estimated_tokens")),
         *(_rows(mentions, ~F.col(c).rlike(name), at, f"{c}: invalid identifier") for c in ("type", "key")),
+        _rows(mentions, F.col("start") < 0, at, "start: expected a non-negative integer"),
+        _rows(mentions, F.trim("label") == "", at, "label: expected a non-empty string"),
         _rows(mentions, F.col("end") <= F.col("start"), at, "end must be greater than start"),
         _rows(known, in_text & long_enough & (F.col("end") > F.length("plain_text")), at, "span exceeds plain_text"),
         _rows(known, in_text & long_enough & (F.col("end") <= F.length("plain_text")) & (fold(span) != fold(F.col("label"))), at, "label does not match the plain_text span"),

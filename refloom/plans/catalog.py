@@ -92,15 +92,19 @@ def ref_offsets(spark, d):
     return registry.exploded(w.order_docs(spark, d)).select("doc_id", "pos", "raw", "start", "end")
 
 
-_CODE = "CASE doc_id % 7 WHEN 0 THEN 'valid' WHEN 1 THEN 'incomplete_opening_marker' WHEN 2 THEN 'missing_closing_marker' WHEN 3 THEN 'missing_separator' WHEN 4 THEN 'missing_type' WHEN 5 THEN 'missing_key' ELSE 'invalid_identifier' END"
+_BODY = "substr(value, 7, length(value) - 8)"
+_CODE = f"""CASE WHEN regexp_full_match(value, '{R}') THEN 'valid' WHEN NOT starts_with(value, '@@EAT ') THEN 'incomplete_opening_marker' WHEN NOT ends_with(value, '@@') THEN 'missing_closing_marker'
+  WHEN position(':' IN {_BODY}) = 0 THEN 'missing_separator' WHEN position(':' IN {_BODY}) = 1 THEN 'missing_type' WHEN position(':' IN {_BODY}) = length({_BODY}) THEN 'missing_key' ELSE 'invalid_identifier' END"""
+_DIAGNOSIS = f"""CASE WHEN starts_with(value, '@@EAT ') THEN (CASE WHEN ends_with(value, '@@') THEN {_CODE} ELSE 'missing_closing_marker' END) WHEN ends_with(value, '@@') THEN 'incomplete_opening_marker'
+  WHEN regexp_matches(value, '{R}') THEN 'valid' ELSE 'invalid_reference' END"""
 
 
-@query("ref_validate", _DOCS, sql=f"SELECT doc_id, doc_id % 7 = 0 AS valid, {_CODE} AS code FROM order_docs")
+@query("ref_validate", _DOCS, _BAD, sql=f"SELECT doc_id, {_CODE} = 'valid' AS valid, {_CODE} AS code FROM bad")
 def ref_validate(spark, d):
     return w.malformed(w.order_docs(spark, d)).select("doc_id", grammar.validate(F.col("value")).alias("v")).select("doc_id", "v.valid", "v.code")
 
 
-@query("syntax_diagnose", _DOCS, sql=f"""SELECT doc_id, {_CODE} AS value_code, CASE doc_id % 7 WHEN 0 THEN 'valid' ELSE 'invalid_reference' END AS sentence_code FROM order_docs""")
+@query("syntax_diagnose", _DOCS, _BAD, sql=f"""SELECT doc_id, {_DIAGNOSIS} AS value_code, sentence_code FROM bad JOIN (SELECT doc_id, {_DIAGNOSIS} AS sentence_code FROM (SELECT doc_id, 'See ' || value || ' today.' AS value FROM bad)) USING (doc_id)""")
 def syntax_diagnose(spark, d):
     return w.malformed(w.order_docs(spark, d)).select("doc_id", grammar.diagnosis(F.col("value")).alias("value_code"), grammar.diagnosis(F.col("sentence")).alias("sentence_code"))
 
@@ -122,7 +126,11 @@ def resolve_typed(spark, d):
     return registry.resolve(registry.exploded(w.order_docs(spark, d)), w.registry(spark, d)).select("doc_id", "pos", "type", "key", "canonical_id")
 
 
-@query("unresolved_refs", _DOCS, sql="""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 4 END AS n_resolved, CASE WHEN doc_id % 5 = 0 THEN '@@EAT nationx:' || n_name || '@@' ELSE '' END AS unresolved FROM order_docs""")
+_SPOILT = f"""spoilt AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(tagged_text, 'nation:', 'nationx:') ELSE tagged_text END AS t FROM order_docs),
+each AS (SELECT doc_id, unnest(range(len(k))) AS pos, unnest(t) AS type, unnest(k) AS key, unnest(raw) AS raw FROM (SELECT doc_id, regexp_extract_all(t, '{R}', 1) AS t, regexp_extract_all(t, '{R}', 2) AS k, regexp_extract_all(t, '{R}', 0) AS raw FROM spoilt))"""
+
+
+@query("unresolved_refs", _REGISTRY, _DOCS, _SPOILT, sql="""SELECT doc_id, CAST(count(DISTINCT canonical_id) AS INTEGER) AS n_resolved, coalesce(string_agg(CASE WHEN canonical_id IS NULL THEN raw END, ',' ORDER BY pos), '') AS unresolved FROM each LEFT JOIN registry USING (type, key) GROUP BY 1""")
 def unresolved_refs(spark, d):
     docs = w.order_docs(spark, d).withColumn("tagged_text", F.when(F.col("doc_id") % 5 == 0, F.replace("tagged_text", F.lit("nation:"), F.lit("nationx:"))).otherwise(F.col("tagged_text")))
     return registry.split_resolved(docs, w.registry(spark, d)).select("doc_id", F.size("resolved").alias("n_resolved"), _J("unresolved", ",").alias("unresolved"))
@@ -244,7 +252,10 @@ def entity_index(spark, d):
     return registry.resolve(sums, w.registry(spark, d)).select("type", "key", "canonical_id", "documents", "references")
 
 
-@query("index_equality", _DOCS, sql="SELECT CAST(0 AS BIGINT) AS only_tags, CAST(0 AS BIGINT) AS only_metadata, CAST(4 * count(*) AS BIGINT) AS postings FROM order_docs")
+_POSTINGS = """by_tags AS (SELECT DISTINCT canonical_id AS e, doc_id FROM refs JOIN registry USING (type, key)), by_gold AS (SELECT DISTINCT unnest(gold) AS e, doc_id FROM order_docs)"""
+
+
+@query("index_equality", _REGISTRY, _DOCS, _REFS, _POSTINGS, sql="""SELECT count(*) FILTER (WHERE b.e IS NULL) AS only_tags, count(*) FILTER (WHERE a.e IS NULL) AS only_metadata, count(*) AS postings FROM by_tags a FULL JOIN by_gold b ON a.e = b.e AND a.doc_id = b.doc_id""")
 def index_equality(spark, d):
     docs = w.order_docs(spark, d)
     a, b = (x.withColumn(c, F.lit(1)) for x, c in ((index.entity_postings(docs, w.registry(spark, d)), "a"), (index.metadata_postings(docs), "b")))
@@ -252,11 +263,13 @@ def index_equality(spark, d):
     return both.agg(F.count_if(F.col("b").isNull()).alias("only_tags"), F.count_if(F.col("a").isNull()).alias("only_metadata"), F.count("*").alias("postings"))
 
 
-@query("index_fingerprint", _DOCS, sql="SELECT unnest(gold) AS entity_id, count(*) AS n FROM order_docs GROUP BY 1")
+_LITTLE = " || ".join(f"substr(lpad(to_hex(doc_id), 8, '0'), {i}, 2)" for i in (7, 5, 3, 1))
+
+
+@query("index_fingerprint", _DOCS, sql=f"""SELECT entity_id, count(*) AS n, sha256(unhex(hex(encode(entity_id)) || '00' || lpad(to_hex(count(*)), 16, '0') || string_agg({_LITTLE}, '' ORDER BY doc_id))) AS sha256 FROM (SELECT unnest(gold) AS entity_id, doc_id FROM order_docs) GROUP BY 1""")
 def index_fingerprint(spark, d):
-    docs = w.order_docs(spark, d)
-    same = index.fingerprint(index.entity_postings(docs, w.registry(spark, d))).join(index.fingerprint(index.metadata_postings(docs)), ["entity_id", "n", "sha256"])
-    return same.select("entity_id", F.col("n").cast("long").alias("n"))
+    found = index.fingerprint(index.entity_postings(w.order_docs(spark, d), w.registry(spark, d)))
+    return found.select("entity_id", F.col("n").cast("long").alias("n"), "sha256")
 
 
 @query("entity_lookup_checksum", _DOCS, sql="""SELECT count(*) AS entities, CAST(sum(n + lo + hi) AS BIGINT) AS lookup, CAST(sum(n + s) AS BIGINT) AS scan FROM (SELECT e, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, sum(doc_id) AS s FROM (SELECT unnest(gold) AS e, doc_id FROM order_docs) GROUP BY 1)""")
@@ -362,7 +375,7 @@ def page_titles(spark, d):
     return w.table(spark, d, "conversations").select("conv_id", "turn", text.title(F.col("text")).alias("title"))
 
 
-@query("mention_contexts", _DOCS, _SPANS, sql="SELECT doc_id, pos, substr(plain_text, greatest(0, s - 10) + 1, e + 10 - greatest(0, s - 10)) AS context FROM spans JOIN order_docs USING (doc_id)")
+@query("mention_contexts", _DOCS, _SPANS, sql="SELECT doc_id, pos, substr(plain_text, greatest(0, s - 160) + 1, e + 160 - greatest(0, s - 160)) AS context FROM spans JOIN order_docs USING (doc_id)")
 def mention_contexts(spark, d):
     docs = w.order_docs(spark, d)
-    return w.spans(docs).join(docs.select("doc_id", "plain_text"), "doc_id").select("doc_id", "pos", text.context(F.col("plain_text"), F.col("start"), F.col("end"), 10).alias("context"))
+    return w.spans(docs).join(docs.select("doc_id", "plain_text"), "doc_id").select("doc_id", "pos", text.context(F.col("plain_text"), F.col("start"), F.col("end")).alias("context"))
