@@ -5,7 +5,7 @@ SAMPLE, cut queries and data into cells; the summary of a data cell is its pivot
 for its k-th score, its k-th best among a bounded sample of real candidates, and needs a cell only if query·pivot +
 |query|·radius reaches that bound. Query cells are cut or merged into blocks of about BLOCK queries, so a cell that holds
 a third of all queries is several blocks, and data cells into chunks of about CHUNK vectors, so no task holds a whole
-cell. A query goes only to the chunks of the cells that it needs, and each data vector only to the blocks that need its
+cell; small neighbouring cells share a bin of at most as many. A query goes only to the bins with cells that it needs, and each data vector only to the blocks that need its
 cell: a task keeps the queries of one block that need one chunk and streams that chunk past them by matrix products; the
 k best of all chunks of a query are merged at the end.
 
@@ -97,7 +97,7 @@ def _best(row, score, vec, k):
 
 
 def _solve(batches, k, dims):
-    """Rows (block, cell, chunk, kind, vec_id, q, bound), sorted: queries of a block, then the data of a chunk."""
+    """Rows (block, bin, chunk, kind, vec_id, q, bound), sorted: queries of a block, then the data of a chunk."""
 
     def close(state):
         if state is not None:
@@ -152,14 +152,22 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE) -
     ids, pivots = np.array([r["vec_id"] for r in some]), sample[: max(PIVOTS, total // CHUNK)]
     numbered = data.withColumn("nth", F.monotonically_increasing_id())  # written down, so that it stays; deals out repeated ids
     placed = cut(numbered.mapInArrow(partial(_cells, pivots=pivots), "vec_id long, q array<bigint>, nth long, cell int, far double"), "cells")
-    radii, chunks = np.zeros(len(pivots)), {}
+    radii, rows = np.zeros(len(pivots)), {}
     for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each of at most SAMPLE cells
-        radii[r["cell"]], chunks[r["cell"]] = r["far"], math.ceil(r["n"] / CHUNK)
+        radii[r["cell"]], rows[r["cell"]] = r["far"], r["n"]
+    near = sorted(range(len(pivots)), key=lambda c: (float(pivots[c] @ pivots[0]), c))  # neighbours by direction
+    bins, chunks, held = [0] * len(pivots), [], CHUNK + 1  # cell → its bin; chunks of each bin: small cells share one
+    for c in near:
+        n = rows.get(c, 0)
+        if held + n > CHUNK:
+            chunks.append(max(1, math.ceil(n / CHUNK)))
+            held = 0
+        bins[c], held = len(chunks) - 1, held + n
     asked = placed.filter(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min(F.struct("q", "cell")).alias("v")).select("vec_id", "v.q", "v.cell")
     asked = cut(asked.mapInArrow(partial(_needs, k=k, pivots=pivots, radii=radii, ids=ids, sample=sample), "vec_id long, q array<bigint>, cell int, cells array<int>, bound long"), "queries")
     sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as few
     first, blocks, held = {}, 0, 0  # cell → (its first block, number of blocks)
-    for c in sorted(sizes, key=lambda c: (float(pivots[c] @ pivots[0]), c)):  # neighbours by direction share a block
+    for c in (c for c in near if c in sizes):  # neighbours share a block
         n = sizes[c]
         if n >= BLOCK:
             first[c], held = (blocks, math.ceil(n / BLOCK)), 0
@@ -171,15 +179,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE) -
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     mine = spark.createDataFrame([(c, b, n) for c, (b, n) in first.items()], "cell int, base int, n int")  # a row a cell
-    parts = spark.createDataFrame(list(chunks.items()), "cell int, chunks int")  # a row a cell
+    parts = spark.createDataFrame([(c, b, chunks[b]) for c, b in enumerate(bins)], "cell int, bin int, chunks int")  # a row a cell
+    by_bin = spark.createDataFrame(list(enumerate(chunks)), "bin int, chunks int")  # as few
     block = F.expr("base + cast(pmod(xxhash64(vec_id), n) as int)").alias("block")
-    needed = asked.join(F.broadcast(mine), "cell").select(block, F.explode("cells").alias("cell"), "vec_id", "q", "bound")
+    placed_queries = asked.join(F.broadcast(mine), "cell").select(block, "cells", "vec_id", "q", "bound")
+    needed = F.explode(F.expr(f"array_distinct(transform(cells, c -> element_at(array({', '.join(map(str, bins))}), c + 1)))")).alias("bin")
     chunk = F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")
-    queries = needed.join(F.broadcast(parts), "cell").select("block", "cell", chunk, F.lit(0).alias("kind"), "vec_id", "q", "bound")
-    wanted = needed.select("block", "cell").distinct().join(F.broadcast(parts), "cell").select("block", "cell", chunk)
+    queries = placed_queries.select("block", needed, "vec_id", "q", "bound").join(F.broadcast(by_bin), "bin").select("block", "bin", chunk, F.lit(0).alias("kind"), "vec_id", "q", "bound")
+    wanted = placed_queries.select("block", F.explode("cells").alias("cell")).distinct().join(F.broadcast(parts), "cell").select("block", "cell", "bin", chunk)
     dealt = placed.join(F.broadcast(parts), "cell").withColumn("chunk", F.expr("cast(pmod(xxhash64(vec_id, nth), chunks) as int)"))
-    copies = dealt.join(wanted, ["cell", "chunk"]).select("block", "cell", "chunk", F.lit(1).alias("kind"), "vec_id", "q", F.lit(0).cast("long").alias("bound"))
-    dealt = queries.union(copies).repartition("block", "cell", "chunk").sortWithinPartitions("block", "cell", "chunk", "kind")
+    copies = dealt.drop("bin").join(wanted, ["cell", "chunk"]).select("block", "bin", "chunk", F.lit(1).alias("kind"), "vec_id", "q", F.lit(0).cast("long").alias("bound"))
+    dealt = queries.union(copies).repartition("block", "bin", "chunk").sortWithinPartitions("block", "bin", "chunk", "kind")
     found = dealt.mapInArrow(partial(_solve, k=k, dims=dims), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
