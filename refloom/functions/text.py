@@ -15,7 +15,8 @@ def fold(text: Column) -> Column:
     """Full case folding of labels and texts: what upper case joins is one in lower case, so ß is ss, ſ is s, ς is σ.
     Dotless ı, which upper case would join with i, stays apart."""
     kept = F.replace(text, F.lit("ı"), F.lit("\ue000"))
-    low = F.translate(F.replace(F.lower(F.upper(kept)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    # what stands between the two also keeps the optimizer from taking lower(upper(x)) for lower(x)
+    low = F.translate(F.lower(F.replace(F.upper(kept), F.lit("ẞ"), F.lit("SS"))), "ς", "σ")
     return F.replace(low, F.lit("\ue000"), F.lit("ı"))
 
 
