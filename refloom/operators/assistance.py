@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .registry import resolve
-from .scoring import metrics, scored
+from .scoring import metrics, ratio, scored
 
 COVERAGES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -47,3 +47,12 @@ def assisted(docs: DataFrame, annotations: DataFrame, predictions: DataFrame, re
 def curve(docs: DataFrame, annotations: DataFrame, predictions: DataFrame, registry: DataFrame, coverages=COVERAGES) -> DataFrame:
     """The metrics at each coverage, in one job."""
     return metrics(scored(assisted(docs, annotations, predictions, registry, coverages)), "coverage")
+
+
+def deltas(points: DataFrame, digits: int = 6) -> DataFrame:
+    """A curve with what precision, recall, F1 and exact documents gain over its smallest coverage, from the unrounded ratios."""
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    rows = points.select("coverage", "exact", p.alias("p"), r.alias("r"), ratio(2 * p * r, p + r).alias("f"))
+    base = rows.agg(*(F.min_by(c, "coverage").alias(f"{c}_0") for c in ("p", "r", "f", "exact")))  # one row
+    gain = lambda c: F.round(F.col(c) - F.col(f"{c}_0"), digits)
+    return rows.crossJoin(F.broadcast(base)).select("coverage", gain("p").alias("precision_delta"), gain("r").alias("recall_delta"), gain("f").alias("f1_delta"), (F.col("exact") - F.col("exact_0")).alias("exact_delta"))

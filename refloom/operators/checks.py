@@ -52,6 +52,21 @@ def gold_rules(docs: DataFrame, registry: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+def source_rules(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """(doc_id, message) of what keeps source documents from being generated from: repeated ids, references that resolve to
+    nothing, other sets of ids than gold, and, with a null doc_id, no documents at all."""
+    empty = F.array().cast("array<string>")
+    found = split_resolved(docs, registry)
+    rows = docs.select("doc_id", F.array_sort(F.array_distinct("gold")).alias("gold")).join(found, "doc_id", "left")
+    rules = [
+        docs.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit("repeated document").alias("message")),
+        found.filter(F.size("unresolved") > 0).select("doc_id", F.lit("a reference resolves to nothing").alias("message")),
+        rows.filter(~F.col("gold").eqNullSafe(F.coalesce("resolved", empty))).select("doc_id", F.lit("references and gold differ").alias("message")).distinct(),
+        docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 0").select("doc_id", F.lit("no documents").alias("message")),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
 def label_multisets(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """(doc_id, label, found, required): how often each label occurs in a text, and how many gold ids have it."""
     found = plain_matches(docs, registry).select("doc_id", "label", F.col("occurrences").alias("found"))

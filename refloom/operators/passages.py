@@ -46,9 +46,17 @@ def known_mentions(mentions: DataFrame, registry: DataFrame) -> tuple[DataFrame,
 
 
 def aliases(registry: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(alias, ids): folded labels and folded texts of known mentions of at least two characters, and what they stand for."""
-    both = registry.select(fold(F.trim("label")).alias("alias"), "canonical_id").union(mentions.select(fold(F.trim("label")), "canonical_id"))
-    return both.filter(F.length("alias") >= 2).groupBy("alias").agg(F.array_sort(F.collect_set("canonical_id")).alias("ids"))
+    """(alias, ids): folded labels, folded texts of known mentions of at least two characters, and what they stand for."""
+    seen = mentions.filter(F.length(F.trim("label")) >= 2).select(fold(F.trim("label")), "canonical_id")
+    both = registry.select(fold(F.trim("label")).alias("alias"), "canonical_id").union(seen)
+    return both.filter("alias <> ''").groupBy("alias").agg(F.array_sort(F.collect_set("canonical_id")).alias("ids"))
+
+
+def profile_parts(registry: DataFrame, mentions: DataFrame, docs: DataFrame, width: int = CONTEXT) -> DataFrame:
+    """(canonical_id, text): the label and the context of each mention, a row each."""
+    near = mentions.join(docs.select("doc_id", "plain_text"), "doc_id")
+    labels = registry.groupBy("canonical_id").agg(F.min("label").alias("text"))
+    return labels.union(near.select("canonical_id", context(F.col("plain_text"), F.col("start"), F.col("end"), width)))
 
 
 def profiles(registry: DataFrame, mentions: DataFrame, docs: DataFrame, width: int = CONTEXT) -> DataFrame:

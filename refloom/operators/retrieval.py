@@ -83,3 +83,12 @@ def quality(ranking: DataFrame, questions: DataFrame, relevant: DataFrame, k: in
 def digest(ranking: DataFrame) -> Column:
     """Aggregate: SHA-256 over one question's documents in rank order, each as 4 bytes big-endian."""
     return F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: F.lpad(F.hex(x["doc_id"]), 8, "0")), "")), 256)
+
+
+def inference_summary(known: DataFrame) -> DataFrame:
+    """(questions, fallbacks, accuracy, ambiguous_labels) of ``inference``: questions answered without an entity, the share of
+    unique ones whose entity is theirs, null if there is none, and the distinct folded labels that are ambiguous."""
+    unique = F.col("status") == "unique"
+    right = F.count_if(unique & F.col("inferred").eqNullSafe(F.col("entity_id")))
+    labels = F.count_distinct(F.when(F.col("status") == "ambiguous", fold(F.col("label"))))
+    return known.agg(F.count("*").alias("questions"), F.count_if(~unique).alias("fallbacks"), F.round(F.try_divide(right, F.count_if(unique)), 6).alias("accuracy"), labels.alias("ambiguous_labels"))

@@ -6,7 +6,10 @@ estimated_tokens). A run is valid if ``violations`` has no rows.
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,47 @@ def header_violations(header: DataFrame, dataset: str, dataset_sha256: str, regi
     return reduce(DataFrame.unionByName, rules)
 
 
+def document_violations(documents: DataFrame, raw: str = "raw") -> DataFrame:
+    """(location, message), with all columns of ``documents``, of texts that are not JSON or not an object, null ones too."""
+    kind = F.schema_of_variant(F.try_parse_json(F.col(raw)))
+    message = F.when(kind.isNull(), "not JSON").when(~kind.startswith("OBJECT"), "expected an object")
+    return documents.select("*", F.lit("$").alias("location"), message.alias("message")).filter("message is not null")
+
+
+def exit_code(violations: DataFrame) -> int:
+    """0 for a valid run and 2 for one with violations, for callers on a command line."""
+    return 0 if violations.isEmpty() else 2
+
+
+def case_lines(cases: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(doc_id, value): the JSON object of each case (doc_id, model_calls, estimated_tokens), fields by name, with its mentions
+    in order."""
+    item = F.struct("end", "key", "label", "start", "type")
+    listed = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end").alias("to"), item.alias("m")))).alias("all"))
+    kind = "array<struct<end:int,key:string,label:string,start:int,type:string>>"
+    rows = cases.join(listed, "doc_id", "left")
+    found = F.coalesce(F.col("all")["m"].cast(kind), F.array().cast(kind))
+    case = F.struct(F.struct("estimated_tokens", "model_calls").alias("cost"), F.col("doc_id").cast("string").alias("id"), found.alias("mentions"))
+    return rows.select("doc_id", F.to_json(case).alias("value"))
+
+
+def write_run(path: str, header: dict, lines: DataFrame) -> None:
+    """Write a run as one JSON document: the fields of ``header`` and the cases by doc_id, which pass the driver one by one.
+
+    The header must have every field of the format but the cases, and a full commit; else nothing is written.
+    """
+    missing = set(FIELDS["$"]) - {"cases"} - set(header)
+    if missing or set(header) - set(FIELDS["$"]):
+        raise ValueError(f"the header lacks {sorted(missing)}, or has fields that the format does not have")
+    if not re.fullmatch(r"[0-9a-f]{7,40}", header["runner"]["commit"]):
+        raise ValueError("the commit of the runner is 7 to 40 lower-case hex digits")
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write('{"cases":[')
+        for i, row in enumerate(lines.orderBy("doc_id").toLocalIterator()):
+            out.write((",\n" if i else "\n") + row["value"])
+        out.write("\n]," + json.dumps(header, sort_keys=True, ensure_ascii=False)[1:] + "\n")
+
+
 def field_violations(documents: DataFrame, raw: str = "raw") -> DataFrame:
     """Fields that the format does not have, at each level, and forbidden ones anywhere in the parameters, of JSON texts."""
     def unknown(level: str, objects: Column) -> DataFrame:

@@ -12,16 +12,21 @@ NGRAMS = (3, 5)
 
 def char_ngrams(rows: DataFrame, key: str, text: str, low: int = NGRAMS[0], high: int = NGRAMS[1]) -> DataFrame:
     """(key, gram, n): counts of the n-grams of each word padded by one blank on either side; a padded word no longer than n is one gram, once."""
-    words = F.expr(f"filter(split(lower({text}), '\\\\s+'), w -> w <> '')")
+    words = F.expr(f"filter(split(lower({text}), '(?U)\\\\s+'), w -> w <> '')")
     grams = f"transform(w, x -> concat(' ', x, ' '))"
     each = f"flatten(transform({grams}, p -> flatten(transform(sequence({low}, {high}), n -> if(length(p) <= n, if(n = greatest({low}, length(p)), array(p), array()), transform(sequence(1, length(p) - n + 1), i -> substring(p, i, n)))))))"
     return rows.select(key, words.alias("w")).select(key, F.explode(F.expr(each)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
-def tfidf(grams: DataFrame, key: str, documents: int, frequencies: DataFrame | None = None) -> DataFrame:
-    """(key, gram, weight): (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1), each key of length one."""
-    df = grams.groupBy("gram").agg(F.count("*").alias("df")) if frequencies is None else frequencies
-    raw = grams.join(df, "gram").withColumn("w", (1.0 + F.log(F.col("n").cast("double"))) * (F.log((documents + 1.0) / (F.col("df") + 1.0)) + 1.0))
+def frequencies(grams: DataFrame, documents: DataFrame) -> DataFrame:
+    """(gram, df, documents): how many keys have a gram, and the number of rows of ``documents``."""
+    total = documents.agg(F.count("*").alias("documents"))  # one row
+    return grams.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
+
+
+def tfidf(grams: DataFrame, key: str, frequencies: DataFrame) -> DataFrame:
+    """(key, gram, weight): (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1), each key of length one; grams without a frequency do not count."""
+    raw = grams.join(frequencies, "gram").withColumn("w", (1.0 + F.log(F.col("n").cast("double"))) * (F.log((F.col("documents") + 1.0) / (F.col("df") + 1.0)) + 1.0))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "gram", (F.col("w") / norm).alias("weight"))
 

@@ -280,13 +280,13 @@ def entity_lookup_checksum(spark, d):
 @query("idf_table", _LEX, sql="SELECT term, df, round(idf, 6) AS idf FROM weights")
 def idf_table(spark, d):
     docs = w.table(spark, d, "documents")
-    return index.idf(index.term_postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.idf(index.term_postings(docs), docs).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _lexical(spark, d):
     docs = w.table(spark, d, "documents")
     postings = index.term_postings(docs)
-    return w.questions(spark, d), postings, index.idf(postings, docs.count())
+    return w.questions(spark, d), postings, index.idf(postings, docs)
 
 
 def _entities(spark, d):
@@ -351,7 +351,8 @@ raw AS (SELECT name, gram, (1 + ln(n)) * (ln(((SELECT count(*) FROM names) + 1.0
 @query("char_ngram_tfidf", _GRAMS, sql="SELECT name, gram, round(v / sqrt(sum(v * v) OVER (PARTITION BY name)), 6) AS weight FROM raw")
 def char_ngram_tfidf(spark, d):
     names = w.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return vectors.tfidf(vectors.char_ngrams(names, "name", "name"), "name", names.count()).select("name", "gram", F.round("weight", 6).alias("weight"))
+    grams = vectors.char_ngrams(names, "name", "name")
+    return vectors.tfidf(grams, "name", vectors.frequencies(grams, names)).select("name", "gram", F.round("weight", 6).alias("weight"))
 
 
 @query("vector_cosine_argmax", sql="""WITH c AS (SELECT label, list_transform(list(embedding ORDER BY vec_id)[1], lambda x: CAST(x AS DOUBLE)) AS m FROM embeddings GROUP BY label)
