@@ -74,10 +74,10 @@ def test_vector_linker_takes_spans_without_their_article(spark):
 
 
 def test_unknown_training_entities_are_an_error(spark):
-    docs, registry, known, training = _tables(spark)
+    _, registry, known, training = _tables(spark)
     odd = known.withColumn("canonical_id", F.lit("nobody"))
     with pytest.raises(PySparkException, match="unknown entity: nobody"):
-        models.tfidf_linker(docs, registry, odd, training).collect()
+        models.trained(odd, training, registry).collect()  # in a longer plan several stages may fail at once
 
 
 def test_a_run_is_assembled_and_read_back(spark, tmp_path):
