@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, join_groups, scratch, small_batches
+from .common import components, cut, drop_rows, join_groups, join_wide, scratch, small_batches
 from .simhash_dedup import links
 
 WIDTH, SIMILARITY, SIGNATURE, BANDS, ROWS = 5, 0.8, 128, 24, 3
@@ -175,7 +175,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     total, checked = pairs.count(), pairs
     for end in ("a", "b"):
         known = pairs.groupBy(F.col(end).alias("whole")).agg(F.count("*").alias("n_rows")).join(sets, "whole").select(F.col("whole").alias(end), "n_rows", F.col("shingles").alias(f"of_{end}"))
-        checked = join_groups(checked, known, end, total).drop("n_rows")
+        checked = join_wide(checked, known, end, total, ["a", "b"]).drop("n_rows")  # sets are as long as their texts
     checked = cut(checked.select("a", "b", "of_a", "of_b").mapInArrow(_verify, "a long, b long, similar boolean"), "verified")
     good = checked.filter("similar").select("a", "b")
     if checked.filter("not similar").isEmpty():

@@ -89,6 +89,28 @@ def test_similar_texts_on_edges(spark):
     assert similar_texts.drop_duplicates(clashing(spark).limit(0)).count() == 0
 
 
+def test_shingle_sets_of_long_texts_are_not_broadcast(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(20_000)) for k in range(15)]
+    docs = spark.createDataFrame([(k * 100 + j, f"{t} copy {j}") for k, t in enumerate(texts) for j in range(3 if k else 80)], "doc_id long, text string").repartition(8)
+    conf = {"spark.sql.maxBroadcastTableSize": "8m", "spark.sql.autoBroadcastJoinThreshold": "256k"}  # 122 sets of 160 kB
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert sorted(r.doc_id for r in similar_texts.drop_duplicates(docs).select("doc_id").collect()) == [k * 100 for k in range(15)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_wide_join_equals_the_plain_one(spark):
+    rows = [(k, i) for k, n in ((1, 1000), (2, 65), (3, 64), (4, 3), (5, 1), (None, 70)) for i in range(n)]
+    a = spark.createDataFrame(rows, "k long, i long")
+    groups = a.filter("k <> 4").groupBy("k").count().withColumnRenamed("count", "n_rows").withColumn("wide", F.repeat(F.col("k").cast("string"), F.lit(9)))
+    got = common.join_wide(a, groups, "k", len(rows), ["i"]).select("k", "i", "n_rows", "wide")
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, n, str(k) * 9) for k, i in rows if k not in (None, 4) for n in [sum(x == k for x, _ in rows)])
+
+
 def test_classifiers_on_edges(spark):
     docs = clashing(spark)
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 1, 1), (None, 1, 1), (3, None, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
