@@ -32,6 +32,8 @@ from .learn import fit_logistic, labelled_sample, sigmoid
 REJECT_FROM, FOLDS, KEPT_WORDS = 0.5, 3, 256
 PREFIXES, CANDIDATES = (4, 5, 7), 4096
 MEMORY, LONGEST = 200_000, 64
+#: Hashes of texts that a worker holds at once, and entries of the sample that the driver looks at at once.
+HELD, CHUNK = 200_000, 1 << 20
 #: What a word counts: PRESENT, and more the denser it is, per DENSITY words; short texts count as SHORT words longer.
 PRESENT, DENSITY, SHORT = 0.3, 200, 20
 #: What the weakly labelled categories are about.
@@ -67,39 +69,78 @@ def word_hashes(text: str | None, known=None) -> dict[int, float]:
 def _hashes(batches):
     """Hashes of each text and their values, and its labels by category: the weak ones, then that of the table."""
     lists = [{zlib.crc32(w.encode()) for w in ws} for ws in CATEGORIES.values()]
-    for batch in batches:
-        toxic = [int(bool(t)) for t in batch.column(0).to_pylist()]
-        words = [sorted(word_hashes(t.as_py()).items()) for t in batch.column(1)]
+
+    def out(toxic, words):
         weak = [pa.array([t if any(h in s for h, _ in w) else 0 for t, w in zip(toxic, words)], pa.int32()) for s in lists]
         lists_ = [pa.array([[x[k] for x in w] for w in words], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.float64()))]
-        yield pa.RecordBatch.from_arrays([*lists_, *weak, pa.array(toxic, pa.int32())], ["words", "of", *NAMES])
+        return pa.RecordBatch.from_arrays([*lists_, *weak, pa.array(toxic, pa.int32())], ["words", "of", *NAMES])
+
+    for batch in batches:
+        toxic, words, held = [], [], 0
+        for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            toxic.append(int(bool(t)))
+            words.append(sorted(word_hashes(text.as_py()).items()))
+            held += len(words[-1])
+            if held >= HELD:
+                yield out(toxic, words)
+                toxic, words, held = [], [], 0
+        if words:
+            yield out(toxic, words)
 
 
 def _within(batches, known):
+    """What the driver gets of each row: the places in ``known``, sorted, of its hashes that are there, and their values, packed
+    such that bytes sort as numbers do; before them a hash of these hashes, which orders the rows."""
     for batch in batches:
-        rows = [[(h, v) for h, v in zip(w, x) if h in known] for w, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        lists = [pa.array([[x[k] for x in w] for w in rows], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.float64()))]
-        yield pa.RecordBatch.from_arrays([*lists, *batch.columns[2:]], batch.schema.names)
+        order, at, of = [], [], []
+        for w, x in zip(batch.column(0), batch.column(1)):
+            hashes = w.values.to_numpy()
+            use = np.isin(hashes, known)
+            order.append(zlib.crc32(repr(hashes[use].tolist()).encode()))
+            at.append(np.searchsorted(known, hashes[use]).astype(_AT).tobytes())
+            of.append(x.values.to_numpy()[use].astype(_OF).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(at, pa.binary()), pa.array(of, pa.binary()), *batch.columns[2:]], ["order", "at", "of", *NAMES])
+
+
+#: Places of CANDIDATES, and values, as they reach the driver.
+_AT, _OF = ">u2", ">f8"
 
 
 class _Presence:
     """Which of the hashes in at least 2 rows each row has, as positions, and their values."""
 
-    def __init__(self, words: list[dict[int, float]]):
-        ids, at, df = np.unique(np.array([h for w in words for h in w], np.int64), return_inverse=True, return_counts=True)
-        row, often = np.repeat(np.arange(len(words)), [len(w) for w in words]), df >= 2
-        self.ids, place = ids[often], np.cumsum(often) - 1
-        use = often[at]
-        self.at, self.row, self.n = place[at[use]], row[use], len(words)
-        self.value = np.array([v for w in words for v in w.values()], float)[use]
+    def __init__(self, ids: np.ndarray, at: list[np.ndarray], value: list[np.ndarray]):
+        """ids: sorted hashes; at, value: of each row, the positions in ids of its hashes and their values."""
+        sizes, kind = [len(a) for a in at], np.min_scalar_type(len(ids))
+        self.n, self.at = len(at), np.concatenate([np.zeros(0, kind), *at], dtype=kind, casting="unsafe")
+        self.row = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), sizes)
+        self.value = np.concatenate([np.zeros(0), *value], dtype=float)
+        often = np.bincount(self.at, minlength=len(ids)) >= 2
+        if not often.all():
+            use = often[self.at]
+            self.at, self.row, self.value = (np.cumsum(often) - 1)[self.at[use]], self.row[use], self.value[use]
+        self.ids = ids[often]
+
+    @classmethod
+    def of(cls, words: list[dict[int, float]]):
+        ids, at = np.unique(np.array([h for w in words for h in w], np.int64), return_inverse=True)
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        return cls(ids, np.split(at, ends) if words else [], [np.array([*w.values()], float) for w in words])
+
+    def _parts(self):
+        return (slice(k, k + CHUNK) for k in range(0, len(self.at), CHUNK))
 
     def best(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Positions of the KEPT_WORDS hashes with the largest chi-square for y in ``rows``; ties to the smaller hash."""
         inside = np.zeros(self.n, bool)
         inside[rows] = True
-        use, n, pos = inside[self.row], len(rows), y[rows].sum()
-        df = np.bincount(self.at[use], minlength=len(self.ids))
-        hit = np.bincount(self.at[use], weights=y[self.row[use]], minlength=len(self.ids))
+        n, pos = len(rows), y[rows].sum()
+        df, hit = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids))
+        for part in self._parts():
+            use = inside[self.row[part]]
+            at = self.at[part][use]
+            df += np.bincount(at, minlength=len(self.ids))
+            hit += np.bincount(at, weights=y[self.row[part][use]], minlength=len(self.ids))
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (hit * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
         chi = np.where((df >= 2) & np.isfinite(chi) & (hit * n > df * pos), chi, 0)
@@ -107,10 +148,11 @@ class _Presence:
         return order[chi[order] > 0]
 
     def matrix(self, kept: np.ndarray) -> np.ndarray:
-        place = np.full(len(self.ids), -1)
+        place, x = np.full(len(self.ids), -1), np.zeros((self.n, len(kept)))
         place[kept] = np.arange(len(kept))
-        use, x = place[self.at] >= 0, np.zeros((self.n, len(kept)))
-        x[self.row[use], place[self.at[use]]] = self.value[use]
+        for part in self._parts():
+            use = place[self.at[part]] >= 0
+            x[self.row[part][use], place[self.at[part][use]]] = self.value[part][use]
         return x
 
 
@@ -130,9 +172,10 @@ class Link:
 
 
 class Chain:
-    def __init__(self, words: list[dict[int, float]], labels: np.ndarray):
+    def __init__(self, words: list[dict[int, float]] | _Presence, labels: np.ndarray):
         """words: hashes of each row and their values; labels: rows × categories, the last the label of the table."""
-        n, presence = len(words), _Presence(words)
+        presence = words if isinstance(words, _Presence) else _Presence.of(words)
+        n = presence.n
         fold, out_of_fold = np.arange(n) % FOLDS, np.zeros((n, 0))
         self.links: list[Link] = []
         for c in range(labels.shape[1]):
@@ -164,10 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     counts = rows.select(F.explode("words").alias("h"), *NAMES).groupBy("h").agg(F.count("*").alias("df"), *(F.sum(c).alias(c) for c in NAMES)).filter("df >= 2")
     chi = [F.expr(f"if({c} * {n}L > df * {p}L, power({c} * {n}D - df * {p}D, 2) * {n}D / (df * ({n}D - df) * {p}D * ({n}D - {p}D)), 0D)") for c, p in zip(NAMES, positive) if 0 < p < n]
     found = counts.filter(f"df < {n}").select("h", F.greatest(F.lit(0.0), *chi, F.lit(0.0)).alias("chi")).filter("chi > 0") if chi else None
-    known = {r["h"] for r in found.orderBy(F.desc("chi"), "h").limit(CANDIDATES).collect()} if chi else set()
-    got = rows.mapInArrow(partial(_within, known=known), fields).collect()  # bounded by MAX_LABELLED and CANDIDATES
-    got.sort(key=lambda r: (zlib.crc32(repr(r["words"]).encode()), *r))
-    return Chain([dict(zip(r["words"], r["of"])) for r in got], np.array([r[2:] for r in got], np.int64).reshape(len(got), len(NAMES)))
+    known = np.array(sorted(r["h"] for r in found.orderBy(F.desc("chi"), "h").limit(CANDIDATES).collect()) if chi else [], np.int64)
+    packed = rows.mapInArrow(partial(_within, known=known), f"order long, at binary, of binary, {', '.join(f'{n} int' for n in NAMES)}")
+    got = [(*r,) for r in packed.collect()]  # bounded by MAX_LABELLED and CANDIDATES
+    got.sort()
+    presence = _Presence(known, [np.frombuffer(r[1], _AT) for r in got], [np.frombuffer(r[2], _OF) for r in got])
+    y = np.array([r[3:] for r in got], np.int64).reshape(len(got), len(NAMES))
+    del got
+    return Chain(presence, y)
 
 
 class _Known(dict):
